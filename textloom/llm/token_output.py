@@ -22,9 +22,12 @@ play no part.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunk_cache import ChunkCache, slices
+from .chunk_cache import ChunkCache, _Places, slices
 from .common import scratch_path, shuffle_width, text_of
 
 #: The ids in a word and the bits of each, for selectors 1 to 14.
@@ -60,6 +63,20 @@ def _window_max(m: np.ndarray, known: dict[int, np.ndarray], width: int) -> np.n
     return known[width]
 
 
+def _ranks(ids: np.ndarray) -> np.ndarray:
+    """Place of the narrowest width that holds an id; one more than the last for an escape."""
+    if len(ids) > len(_RANKS) and ids.max() < len(_RANKS):
+        return _RANKS[ids.astype(np.uint16)]
+    rank = np.zeros(len(ids), np.uint8)
+    for bits in BITS:
+        rank += (ids >> np.uint64(bits) != 0).astype(np.uint8)
+    return rank
+
+
+_RANKS = np.zeros(0, np.uint8)
+_RANKS = _ranks(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, offsets, escapes) of documents whose ids stand one after the other in `ids`."""
     ids = ids.astype(np.uint64)
@@ -70,10 +87,7 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     place = np.arange(len(ids)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
     padded[place] = ids
     escapes = ids[ids >> np.uint64(60) != 0]
-    # rank of the narrowest width that holds an id; one more than the last for an escape
-    rank = np.zeros(len(padded), np.uint8)
-    for bits in BITS:
-        rank += (padded >> np.uint64(bits) != 0).astype(np.uint8)
+    rank = _ranks(padded)
     step = np.ones(len(padded), np.uint8)
     known = {1: rank}
     for k in range(len(COUNTS) - 2, -1, -1):
@@ -128,32 +142,109 @@ def unpack(words: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, escapes: n
     return out
 
 
+#: The normaliser and pre-tokenizer under which a word of plain letters is one pre-token, and marks after it another.
+_PLAIN_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
+_PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = re.compile(r"([^\W\d_]+)([^\w\s'\u0250-\U0010FFFF]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for characters from U+0100 on; a blank stays a blank here."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)} | {0x20: " "}
+
+
 class WordEncoder:
     """A tokenizer file of the tokenizers library, over texts cut at blanks and line feeds.
 
     Only for tokenizers whose pre-tokenizer never joins characters across white space and
     whose normaliser doesn't look across it; then the ids of the pieces are those of the text.
-    New pieces are encoded together, parted by a special token of the tokenizer.
+    New pieces are encoded together, parted by a special token of the tokenizer. If the file
+    has the normaliser and pre-tokenizer named above and marks word ends, pieces of letters
+    (below U+0250, where NFC changes nothing) and marks after them go to the library's BPE as
+    words already normalised, which is several times faster and gives the same ids.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
         self.cache = ChunkCache(self._encode_new)
-
-    def _encode_new(self, new: list[str], together: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+        made = json.loads(self.tokenizer.to_str())
+        steps = (made.get("normalizer") or {}).get("normalizers", [])
+        cuts = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        suffix = made["model"].get("end_of_word_suffix")
+        self.plain = {s["type"] for s in steps} == _PLAIN_NORMALIZERS and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"].get("Regex") == _PLAIN_SPLIT and bool(suffix)
+        if self.plain:
+            self.bpe = Tokenizer(self.tokenizer.model)
+            self.bpe.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocab = self.tokenizer.get_vocab()
+            self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+            self.is_end[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            self.letters = _byte_letters()
+            self.marks: dict[str, list[int]] = {"": []}
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
+        batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        return [x.ids for x in batch(texts, add_special_tokens=False)]
+
+    def _encode_any(self, new: list[str], together: int = 4000) -> tuple[np.ndarray, np.ndarray]:
         parts = [self.mark.join(new[i : i + together]) for i in range(0, len(new), together)]
-        ids = np.concatenate([np.array([*x.ids, self.mark_id], np.uint32) for x in self.batch(parts, add_special_tokens=False)])
+        ids = np.array([i for x in self._ids(self.tokenizer, parts) for i in (*x, self.mark_id)], np.uint32)
         ends = np.flatnonzero(ids == self.mark_id)
         if len(ends) != len(new):  # a piece holds the special token itself
-            found = [x.ids for x in self.batch(new, add_special_tokens=False)]
+            found = self._ids(self.tokenizer, new)
             return np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64)
         return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
 
+    def _encode_stems(self, stems: list[str], together: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        words = " ".join(stems).encode().decode("latin-1").translate(self.letters).split(" ")
+        found = self._ids(self.bpe, [" ".join(words[i : i + together]) for i in range(0, len(words), together)])
+        ids = np.array(list(chain.from_iterable(found)), np.uint32)
+        return ids, np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
+
+    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.plain:
+            return self._encode_any(new)
+        stems, others = _Places(), []
+        stem_at, mark_of = np.zeros(len(new), np.int64), [""] * len(new)
+        for k, word in enumerate(new):
+            mark = ""
+            if not word.isalpha():
+                found = _PLAIN.fullmatch(word)
+                if not found or not found[1].isalpha():
+                    others.append(k)
+                    continue
+                word, mark = found.groups()
+            if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
+                others.append(k)
+                continue
+            stem_at[k], mark_of[k] = stems[word.lower()], mark
+        # three parts, put one behind the other: stems, marks, all other pieces
+        parts = [self._encode_stems(list(stems))] if stems else [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+        for m in set(mark_of).difference(self.marks):
+            self.marks[m] = self._ids(self.tokenizer, [m])[0]
+        marks = _Places()
+        mark_at = np.fromiter((marks[m] for m in mark_of), np.int64, len(new))
+        parts.append((np.array([i for m in marks for i in self.marks[m]], np.uint32), np.array([len(self.marks[m]) for m in marks], np.int64)))
+        parts.append(self._encode_any([new[k] for k in others]) if others else (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
+        if len(self.marks) > 10_000:
+            self.marks = {"": []}
+        flat = np.concatenate([ids for ids, _ in parts])
+        sizes = np.concatenate([n for _, n in parts])
+        begin = np.cumsum(sizes) - sizes
+        first = stem_at.copy()
+        first[others] = len(stems) + len(marks) + np.arange(len(others))
+        pieces = np.stack([first, mark_at + len(stems)], 1).ravel()  # a piece of the third kind has no marks
+        n = sizes[pieces]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begin[pieces] - (ends - n), n) + np.arange(int(ends[-1]))]
+        return ids, n.reshape(-1, 2).sum(1)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.cache.encode([t.replace("\n", " ").split(" ") for t in texts])
 
