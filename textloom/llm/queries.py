@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sentencepiece_codec, token_counts, token_output, voronoi_knn
+from . import exact_dedup, mixing, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
 
 QUERIES = {
     "op3_token_output": token_output.op3,
     "op4_voronoi_knn": voronoi_knn.op4,
+    "op5_toxicity": toxicity.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op8_sentencepiece": sentencepiece_codec.op8,
     "op9_mixing": mixing.op9,
