@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
+from . import exact_dedup, mixing, near_dup, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
 
 QUERIES = {
+    "op2_near_dup": near_dup.op2,
     "op3_token_output": token_output.op3,
     "op4_voronoi_knn": voronoi_knn.op4,
     "op5_toxicity": toxicity.op5,
