@@ -49,6 +49,8 @@ MAX_FEATURES = 20_000
 PRIOR = 10.0
 #: Observations and standard deviations from which a token's own log-odds count.
 MIN_SEEN, MIN_Z = 5, 3.0
+#: Log-odds of a token's documents from which its contexts are looked at: a word twice as likely in toxic texts.
+MIN_ODDS = math.log(2)
 #: Score of a token without significant log-odds.
 PENALTY = -0.1
 THRESHOLD = 0.7
@@ -318,8 +320,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     if not classes.get(0) or not classes.get(1):
         return Model()
     counts = rows.mapInArrow(_document_counts, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    z = F.expr(f"(ln((n1 + 0.5) / {classes[1] + 1.0}D) - ln((n0 + 0.5) / {classes[0] + 1.0}D)) / sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))")
-    chosen = counts.filter(F.col("n0") + F.col("n1") >= MIN_SEEN).withColumn("z", z).filter(F.col("z") >= MIN_Z)
+    odds = F.expr(f"ln((n1 + 0.5) / {classes[1] + 1.0}D) - ln((n0 + 0.5) / {classes[0] + 1.0}D)")
+    chosen = counts.filter(F.col("n0") + F.col("n1") >= MIN_SEEN).withColumn("x", odds).withColumn("z", F.expr("x / sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))"))
+    chosen = chosen.filter((F.col("z") >= MIN_Z) & (F.col("x") >= MIN_ODDS))
     names = [r.feature for r in chosen.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()]
     shared = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
     found = rows.mapInArrow(_contexts(shared), "f int, y int, c long")
