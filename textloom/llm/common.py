@@ -58,3 +58,12 @@ def text_of(column: str = "text") -> Column:
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: what the session was sized to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows up to which `small` lets a table be broadcast; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if a count shows that it has few rows. For tables that are cheap to count (kept ones)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

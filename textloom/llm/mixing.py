@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, small
+
 #: Ranges of the hash in each leaf; only the range in which a prefix ends is sorted.
 RANGES = 1024
 SEED = 20240
@@ -117,18 +119,18 @@ def plan(pieces: DataFrame, total: Column, weights: dict[str, dict[str, int]], m
     pieces: domain, lang, source, doc_id, tokens.
     """
     leaves = pieces.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
-    dealt = budgets(leaves, total, weights, max_epochs)
+    dealt = cut(budgets(leaves, total, weights, max_epochs))
     dealt = dealt.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(F.lit(1)).cast("long"))
     dealt = dealt.withColumn("need", F.when(F.col("tokens") > 0, F.col("alloc") - F.col("epochs") * F.col("tokens")).otherwise(F.lit(0)))
     open_leaves = dealt.filter("need > 0").select(*LEVELS, "epochs", "need")
     width = (1 << 60) // ranges
-    hashed = _join(pieces, open_leaves, list(LEVELS)).withColumn("h", order_hash(F.col("doc_id"), F.col("epochs"), seed))
+    hashed = _join(pieces, small(open_leaves), list(LEVELS)).withColumn("h", order_hash(F.col("doc_id"), F.col("epochs"), seed))
     hashed = hashed.withColumn("part", F.expr(f"cast(h div {width} as int)"))
     by_leaf = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = hashed.groupBy(*LEVELS, "epochs", "need", "part").agg(F.sum("tokens").alias("n"))
     parts = parts.withColumn("before", F.coalesce(F.sum("n").over(by_leaf), F.lit(0)))
     last = parts.filter("before < need and before + n >= need").select(*LEVELS, "part", "before")
-    inside = _join(hashed, last, [*LEVELS, "part"]).groupBy(*LEVELS, "part", "need", "before", "h", "doc_id").agg(F.sum("tokens").alias("tokens"))
+    inside = _join(hashed, small(cut(last)), [*LEVELS, "part"]).groupBy(*LEVELS, "part", "need", "before", "h", "doc_id").agg(F.sum("tokens").alias("tokens"))
     run = Window.partitionBy(*LEVELS).orderBy("h", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("start", F.col("before") + F.coalesce(F.sum("tokens").over(run), F.lit(0)))
     ends = inside.filter("start < need and start + tokens >= need").select(*LEVELS, F.col("h").alias("end_hash"), F.col("doc_id").alias("end_id"), (F.col("need") - F.col("start")).alias("end_tokens"))
@@ -139,7 +141,7 @@ def plan(pieces: DataFrame, total: Column, weights: dict[str, dict[str, int]], m
 
 def mix(pieces: DataFrame, total: Column, weights: dict[str, dict[str, int]], max_epochs: int = 1, seed: int = SEED, ranges: int = RANGES) -> DataFrame:
     """pieces with `copies` (times that the whole document is in the mix), `taken` (its tokens in the mix) and `in_prefix`."""
-    made = plan(pieces, total, weights, max_epochs, seed, ranges).select(*LEVELS, "epochs", "end_hash", "end_id", "end_tokens")
+    made = small(cut(plan(pieces, total, weights, max_epochs, seed, ranges).select(*LEVELS, "epochs", "end_hash", "end_id", "end_tokens")))
     h = order_hash(F.col("doc_id"), F.col("epochs"), seed)
     below = (h < F.col("end_hash")) | ((h == F.col("end_hash")) & F.coalesce(F.col("doc_id") < F.col("end_id"), F.col("doc_id").isNull() & F.col("end_id").isNotNull()))
     at = (h == F.col("end_hash")) & F.col("doc_id").eqNullSafe(F.col("end_id"))
@@ -159,8 +161,6 @@ def default_total() -> Column:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """doc_id, domain, lang, source, tokens, copies, taken, selected of every document."""
-    from .common import cut
-
     pieces = cut(pieces_of(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     out = mix(pieces, default_total(), WEIGHTS)
     return out.select("doc_id", "domain", "lang", "source", "tokens", "copies", "taken", ((F.col("copies") > 0) | F.col("in_prefix")).alias("selected"))
@@ -168,13 +168,11 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def keep_selected(docs: DataFrame) -> DataFrame:
     """The documents that are in the mix, with all their columns, whole."""
-    from .common import cut
-
     pieces = cut(pieces_of(docs))
     made = plan(pieces, default_total(), WEIGHTS)
     cols = docs.columns
     names = {k: f"__m_{k}" for k in made.columns}
-    made = made.withColumnsRenamed(names)
+    made = small(cut(made.withColumnsRenamed(names)))
     tagged = docs.withColumn("__domain", domain_of(F.col("source")))
     on = [tagged["__domain"].eqNullSafe(made["__m_domain"]), tagged["lang"].eqNullSafe(made["__m_lang"]), tagged["source"].eqNullSafe(made["__m_source"])]
     h = order_hash(F.col("doc_id"), F.col("__m_epochs"), SEED)
