@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dup, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
+from . import exact_dedup, mixing, near_dup, pii, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
 
 QUERIES = {
     "op2_near_dup": near_dup.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_voronoi_knn": voronoi_knn.op4,
     "op5_toxicity": toxicity.op5,
     "op6_exact_dedup": exact_dedup.op6,
+    "op7_pii": pii.op7,
     "op8_sentencepiece": sentencepiece_codec.op8,
     "op9_mixing": mixing.op9,
     "op10_token_counts": token_counts.op10,
