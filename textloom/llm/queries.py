@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dup, pii, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
+from . import exact_dedup, mixing, near_dup, pii, quality, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
 
 QUERIES = {
+    "op1_quality": quality.op1,
     "op2_near_dup": near_dup.op2,
     "op3_token_output": token_output.op3,
     "op4_voronoi_knn": voronoi_knn.op4,
