@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import gc
+from collections.abc import Callable, Hashable, Iterator
 from itertools import chain
+from typing import Any
 
 import numpy as np
 
@@ -22,6 +24,23 @@ def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
         yield part
 
 
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The one large cache that a Python worker keeps between tasks; that of another operator or model is dropped first."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
+
 class _Places(dict):
     """Chunk -> place; a chunk that is met for the first time gets the next place and is noted in `new`."""
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_cache import slices
+from .chunk_cache import held, release, slices
 from .common import cut, text_of, written
 from .components import components
 from .shingles import WordHasher, mix, shingle_hashes, words_of
@@ -88,7 +88,7 @@ _PRINT_ARROW = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("c", pa.
 
 def _fingerprints(trees: int, depth: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, signer = WordHasher(), Signer(trees, depth)
+        hasher, signer = held("word hashes", WordHasher), Signer(trees, depth)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -123,6 +123,7 @@ def _linked(common, n_a, n_b, similarity: float):
 
 def _verify_pairs(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 rows = batch.slice(i, 256).to_pylist()
@@ -186,6 +187,7 @@ def _verify_blocks(similarity: float):
         return cs, np.frombuffer(row[f"ws_{side}"], np.int64), [_set(g) for g in row[f"sets_{side}"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]

@@ -24,23 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunk_cache import ChunkCache, slices
+from .chunk_cache import ChunkCache, held, slices
 from .common import text_of
 from .unigram import model
 
-_CACHES: dict[str, ChunkCache] = {}
-
-
 def _cache(path: str) -> ChunkCache:
-    if path not in _CACHES:
-        unigram = model(path)
+    unigram = model(path)
 
-        def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [unigram.encode_chunk(c) for c in chunks]
-            return np.array([i for ids in found for i in ids], np.uint32), np.array(list(map(len, found)), np.int64)
+    def encode_new(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [unigram.encode_chunk(c) for c in chunks]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array(list(map(len, found)), np.int64)
 
-        _CACHES[path] = ChunkCache(encode_new)
-    return _CACHES[path]
+    return held(("pieces", path), lambda: ChunkCache(encode_new))
 
 
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_cache import ChunkCache, slices
+from .chunk_cache import ChunkCache, held, slices
 from .common import text_of
 from .unigram import model
 
@@ -46,12 +46,9 @@ class _Counts:
         return tuple(t[edges[1:]] - t[edges[:-1]] for t in totals)
 
 
-_COUNTS: dict[str, _Counts] = {}
-
-
 def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _COUNTS.get(path) or _COUNTS.setdefault(path, _Counts(path))
+        counts = held(("counts", path), lambda: _Counts(path))
         for batch in batches:
             at = 0
             for i in range(0, batch.num_rows, 256):

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunk_cache import ChunkCache, _Places, slices
+from .chunk_cache import ChunkCache, _Places, held, slices
 from .common import scratch_path, shuffle_width, text_of
 
 #: The ids in a word and the bits of each, for selectors 1 to 14.
@@ -269,8 +269,6 @@ class WordEncoder:
         return self.cache.encode([self._cut(t) for t in texts])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
 _BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), *[(c, pa.binary()) for c in ("doc_ids", "sizes", "offsets", "words", "escapes")], ("null_ids", pa.int64())])
 _BLOCK_DDL = "shard int, block int, first_id long, n_ids long, doc_ids binary, sizes binary, offsets binary, words binary, escapes binary, null_ids long"
 
@@ -281,20 +279,20 @@ def _with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 def _blocks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, WordEncoder(path))
+        encoder = held(("words", path), lambda: WordEncoder(path))
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
-        n_held = 0
+        waiting: list[tuple[list, np.ndarray, np.ndarray]] = []
+        n_waiting = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal block, first, n_held
-            docs = [d for part, _, _ in held for d in part]
-            ids, sizes = np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held])
+            nonlocal block, first, n_waiting
+            docs = [d for part, _, _ in waiting for d in part]
+            ids, sizes = np.concatenate([x for _, x, _ in waiting]), np.concatenate([x for _, _, x in waiting])
             words, offsets, escapes = pack(ids, sizes)
             nulls = sum(d is None for d in docs)  # they come first
             row = [shard, block, first, len(ids), np.array([d or 0 for d in docs], "<i8").tobytes(), sizes.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes(), nulls]
-            block, first, n_held = block + 1, first + len(ids), 0
-            held.clear()
+            block, first, n_waiting = block + 1, first + len(ids), 0
+            waiting.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK.types, strict=True)], schema=_BLOCK)
 
         for batch in batches:
@@ -302,11 +300,11 @@ def _blocks(path: str, end_id: int):
             for i in range(0, batch.num_rows, 256):
                 for texts in slices(batch.column(1).slice(i, 256).to_pylist()):
                     ids, sizes = _with_end(*encoder.encode(texts), end_id)
-                    held.append((doc_ids[at : at + len(texts)], ids, sizes))
-                    at, n_held = at + len(texts), n_held + len(ids)
-                    if n_held >= BLOCK_IDS:
+                    waiting.append((doc_ids[at : at + len(texts)], ids, sizes))
+                    at, n_waiting = at + len(texts), n_waiting + len(ids)
+                    if n_waiting >= BLOCK_IDS:
                         yield close()
-        if held:
+        if waiting:
             yield close()
 
     return run

@@ -27,6 +27,7 @@ empty table gives an empty result, other columns play no part.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_cache import _Places
+from .chunk_cache import _Places, held
 from .common import text_of, written
 from .shingles import words_of
 
@@ -72,6 +73,7 @@ class Model:
     k: float = 0.1
     intercept: float = -1e9
     slope: float = 0.0
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def token(self, word: str) -> float:
         for feature in reversed(features_of(word)):
@@ -145,6 +147,10 @@ class Scorer:
         return segments(at.tolist(), scores[at].tolist()) if len(at) else [], len(scores), scores
 
 
+def _scorer(model: Model) -> Scorer:
+    return held(("toxicity", model.name), lambda: Scorer(model))
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -247,7 +253,7 @@ def _null_counts(shared):
     """Clean texts' tokens (kind 0) and segments (kind 1) by score in tenths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
         counts: Counter = Counter()
         for text, toxic in _rows(batches):
             if not toxic:
@@ -287,7 +293,7 @@ def extreme_value_parameters(tokens: dict[float, int], found: dict[float, int])
 
 def _evidence_counts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
         counts: Counter = Counter()
         for text, toxic in _rows(batches):
             found, n, _ = scorer.text(text)
@@ -348,7 +354,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(shared.value)
         m = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -377,7 +383,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, m = Scorer(shared.value), shared.value
+        scorer, m = _scorer(shared.value), shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
