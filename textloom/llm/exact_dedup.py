@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunk_cache import release
 from .common import cut, shuffle_width, text_of
 
 SLOTS = 4
@@ -152,6 +153,7 @@ def _combine(flush_at: int | None):
     """Combines the records of a partition; flush_at bounds what the map side holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         index = CuckooIndex()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):

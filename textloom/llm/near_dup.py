@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     groups = components(edges).select(F.col("node").alias("c"), F.col("label").alias("group"))
     degrees = degrees.groupBy("c").agg(F.sum("links").alias("links"))
     placed = classes.join(groups, "c", "left").withColumn("group", F.coalesce("group", "c")).join(degrees, "c", "left")
-    heads = placed.groupBy("group").agg(F.min("first").alias("head"))
+    placed = cut(placed)
+    heads = cut(placed.groupBy("group").agg(F.min("first").alias("head")))
     placed = placed.join(heads, "group").select("c", F.col("head.doc_id").alias("class_id"), F.col("head.tag").alias("head_tag"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.col("first.doc_id").alias("set_id"))
     return prints.select("doc_id", "tag", "c").join(placed, "c").select("doc_id", "class_id", "n_links", "set_id", "tag", (F.col("tag") == F.col("head_tag")).alias("kept"))
 
