@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunk_cache import ChunkCache, _Places, held, slices
+from .chunk_cache import ChunkCache, _Places, held, release, slices
 from .common import scratch_path, shuffle_width, text_of
 
 #: The ids in a word and the bits of each, for selectors 1 to 14.
@@ -175,7 +175,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
-        self.cache = ChunkCache(self._encode_new, limit=1_000_000, chars=30_000_000)
+        self.cache = ChunkCache(self._encode_new, limit=600_000, chars=18_000_000)
         made = json.loads(self.tokenizer.to_str())
         steps = (made.get("normalizer") or {}).get("normalizers", [])
         cuts = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -336,6 +336,7 @@ def decode_block(row: dict) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
