@@ -10,6 +10,7 @@ from textloom.llm import token_output as O
 from textloom.llm.chunk_cache import ChunkCache
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER, ENCODER = Tokenizer.from_file(PATH), O.WordEncoder(PATH)
 
 
 @settings(max_examples=60, deadline=None)
@@ -33,10 +34,9 @@ def test_words_hold_as_many_ids_as_fit():
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("abcde,.'  \n")), max_size=30), min_size=1, max_size=8))
 def test_ids_are_the_librarys(texts):
-    tokenizer = Tokenizer.from_file(PATH)
     texts = [*texts, "<|endoftext|> don't <|x"]
-    ids, sizes = O.WordEncoder(PATH).encode(texts)
-    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    ids, sizes = ENCODER.encode(texts)
+    want = [x.ids for x in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
     assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
@@ -51,10 +51,10 @@ def test_files(spark, docs, empty, tmp_path, monkeypatch):
     monkeypatch.setattr(O, "BLOCK_IDS", 50)
     O.write_tokens(docs, PATH, str(tmp_path / "t"))
     found = sorted(map(tuple, O.document_digests(spark, str(tmp_path / "t")).collect()), key=lambda r: r[1])
-    tokenizer, start = Tokenizer.from_file(PATH), 0
+    start = 0
     rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     for (doc_id, text), got in zip(rows, found, strict=True):
-        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        ids = [*TOKENIZER.encode(text, add_special_tokens=False).ids, 2]
         assert got == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     O.write_tokens(empty, PATH, str(tmp_path / "e"))
