@@ -23,7 +23,7 @@ def test_against_brute_force(spark, monkeypatch, block):
     rng = random.Random(2)
     rows = [(i, [rng.choice((-0.5, 0.25, rng.uniform(-1, 1))) for _ in range(4)]) for i in range(300)]
     rows += [(300 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(120)]  # one very common vector
-    rows += [(900, None), (905, [1.0, None]), (910, [float("nan"), 1.0]), (915, [float("inf"), 0.0]), (920, []), (925, [0.7]), (930, [0.1] * 6), (None, [1.0] * 4), (935, [1e300, 0.0])]
+    rows += [(900, None), (905, [1.0, None]), (910, [float("nan"), 1.0]), (915, [float("inf"), 0.0]), (920, []), (925, [0.7]), (930, [0.1] * 6), (None, [1.0] * 4), (935, [1e300, 0.0]), (940, [900000.7, -3.0, 2.0, 1.0]), (945, [899999.3, 5.0, 2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("clash")).repartition(3)
     assert sorted(map(tuple, V.knn_join(df, F.col("vec_id") % 5 == 0).collect())) == brute(rows, 5)
 

@@ -8,12 +8,11 @@ With pivot p and radius r, no member x of a group scores above q.p + |q| r; a gr
 whose bound is below a query's score so far can't add to its result, and only the blocks
 of the other groups get a copy of the query, in chunks of queries of one group. There
 they are solved by one matrix product per chunk and block, and the best k of all partial
-results are kept. Bounds are in float64 with a margin for rounding; scores are exact
-integers.
+results are kept. Bounds are in float64 with a margin for rounding; scores are exact: they
+are computed in float64 only where it holds every sum, else in 64-bit integers.
 
 Rows: vectors that are null, hold null or non-finite components, or have a component
-beyond +-2**26 after scaling (whose scores could leave the integers that float64 holds)
-take no part. Vectors of fewer dimensions than the longest count as padded with zeros;
+of 2**28 or more after scaling (whose scores might not fit a long) take no part. Vectors of fewer dimensions than the longest count as padded with zeros;
 an empty vector is the zero vector. A null vec_id takes no part. Rows with the same
 vec_id are candidates of their own, but none of them is a candidate of a query with
 that id, and equal rows of one result are given once. Ties go to the smaller vec_id. An
@@ -36,7 +35,7 @@ BLOCK = 2048
 CHUNK = 256
 #: Pivots: the square root of the number of vectors, up to this bound; they and their summaries are broadcast.
 MAX_PIVOTS = 2048
-LIMIT = 1 << 26
+LIMIT = 1 << 28
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -71,19 +70,24 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         cut_at = np.partition(scores, len(scores) - k)[len(scores) - k]
         keep = scores >= cut_at
         scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((ids, -scores))[:k]
+    order = np.lexsort((-ids, scores))[::-1][:k]
     return scores[order], ids[order]
 
 
 def _solve(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Best k of each query among x: lists of query ids, vector ids, scores. -inf marks what isn't a candidate."""
-    scores = q @ x.T
-    scores[q_ids[:, None] == ids[None, :]] = -np.inf
+    """Best k of each query among x: lists of query ids, vector ids, scores."""
+    if not len(q) or not len(x):
+        return [], [], []
+    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53:
+        scores, none = q @ x.T, -np.inf
+    else:
+        scores, none = q.astype(np.int64) @ x.astype(np.int64).T, np.iinfo(np.int64).min
+    scores[q_ids[:, None] == ids[None, :]] = none  # a query is no candidate of its own
     out_q, out_v, out_s = [], [], []
     for i, row in enumerate(scores):
         s, v = _best(row, ids, k)
         for a, b in zip(s.tolist(), v.tolist(), strict=True):
-            if a != -np.inf:
+            if a != none:
                 out_q.append(int(q_ids[i]))
                 out_v.append(b)
                 out_s.append(int(a))
@@ -128,7 +132,7 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
         ids = table.column("vec_id").to_numpy()
         asks = table.column("query").to_numpy().astype(bool)
         q, q_ids = x[asks], ids[asks]
-        out_q, out_v, out_s = _solve(q_ids, q, ids, x, k) if len(q_ids) else ([], [], [])
+        out_q, out_v, out_s = _solve(q_ids, q, ids, x, k)
         found: dict[int, list[int]] = {}
         for a, s in zip(out_q, out_s, strict=True):
             found.setdefault(a, []).append(s)
