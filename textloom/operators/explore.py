@@ -27,6 +27,13 @@ def concordance(corpus: DataFrame, term: str, context: int = 50, keep: tuple[str
     return hits.select("doc_id", *keep, (F.col("i") + 1).alias("hit"), "h.left", "h.match", "h.right")
 
 
+def with_metadata(rows: DataFrame, meta: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """Rows with columns of their document, of a repeated document those of the first row in `order`."""
+    turn = Window.partitionBy("doc_id").orderBy(order)
+    first = meta.withColumn("__r", F.row_number().over(turn)).filter("__r = 1").select("doc_id", *columns)
+    return rows.join(first, "doc_id", "left")
+
+
 def first_hits(hits: DataFrame, most: int) -> DataFrame:
     return hits.orderBy("doc_id", "hit").limit(most)
 

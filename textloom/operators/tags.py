@@ -63,3 +63,27 @@ def tagset_overview(termset: DataFrame, preview: int = 5) -> DataFrame:
 def progress(tagged: DataFrame) -> DataFrame:
     """One row: words, and how many have a tag."""
     return tagged.agg(F.count("*").alias("words"), F.count_if(F.size("tags") > 0).alias("tagged"))
+
+
+def with_tag_columns(pos_list: DataFrame, columns: tuple[str, ...] = ("tag1", "tag2", "tag3")) -> DataFrame:
+    """A POS list with all tag columns, missing and null ones blank."""
+    have = set(pos_list.columns)
+    return pos_list.withColumns({c: F.coalesce(F.trim(F.col(c)), F.lit("")) if c in have else F.lit("") for c in columns})
+
+
+def selected(termset: DataFrame, chosen: list[str]) -> DataFrame:
+    """The words of some tags only."""
+    return termset.filter(F.col("tag").isin(chosen) & (F.trim("word") != ""))
+
+
+def require(df: DataFrame, columns: list[str], what: str) -> DataFrame:
+    """df, or an error that names what it lacks."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{what} lacks {', '.join(missing)}")
+    return df
+
+
+def matrix_onto_termset(matrix: DataFrame, termset: DataFrame) -> DataFrame:
+    """(tag, word, total) of a TF-IDF matrix for the words of a termset."""
+    return termset.join(matrix.groupBy(F.col("term").alias("word")).agg(F.sum("tfidf").alias("total")), "word", "left").select("tag", "word", F.coalesce("total", F.lit(0.0)).alias("total"))

@@ -31,7 +31,9 @@ def write_corpus(corpus: DataFrame, path: str, fmt: str = "parquet") -> None:
 def vocabulary_json(counts: DataFrame, variant: str) -> DataFrame:
     """One row (value): the vocabulary file of counts (term, n). The file format has all terms in one object."""
     top = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "term"))), 1, TOP_WORDS), lambda x: F.array(x["term"], (-x["m"]).cast("string")))
-    return counts.agg(F.to_json(F.struct(F.lit(variant).alias("variant"), F.count("*").alias("vocabulary_size"), F.sum("n").alias("total_tokens"), top.alias("top_words"), F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("full_vocab"))).alias("value"))
+    made = counts.agg(F.to_json(F.struct(F.lit(variant).alias("variant"), F.count("*").alias("vocabulary_size"), F.sum("n").alias("total_tokens"), top.alias("top_words"), F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("full_vocab"))).alias("value"))
+    # Spark's arrays are of one type; the counts in the pairs become numbers here
+    return made.select(F.regexp_replace("value", r'\["((?:[^"\\]|\\.)*)","(\d+)"\]', r'["$1",$2]').alias("value"))
 
 
 def write_vocabulary(counts: DataFrame, variant: str, path: str) -> None:
@@ -74,8 +76,12 @@ def renamed_topics(df: DataFrame, names: list[str], id_: str = "doc_id") -> Data
     return df.select(id_, *[F.col(f"`{c}`").alias(n or c) for c, n in zip(topics, [*names, *topics[len(names) :]], strict=True)])
 
 
-def safe_name(name: str, most: int = 120) -> str:
-    return re.sub(r"\s+", "_", re.sub(r'[\\/:*?"<>|]+', "_", name.strip())).strip("._")[:most] or "unnamed"
+#: Characters that are replaced in file names.
+UNSAFE = ' /\\:*?"<>|'
+
+
+def safe_name(name: str) -> str:
+    return name.translate(str.maketrans(UNSAFE, "_" * len(UNSAFE)))
 
 
 def next_version(name: str, existing: Iterable[str]) -> str:
