@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Hashable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 from typing import Any
 
 import numpy as np
@@ -65,7 +65,7 @@ class ChunkCache:
         self._clear()
 
     def _clear(self) -> None:
-        self.index = _Places()
+        self.index: dict[str, int] = {}
         self.start = np.zeros(1 << 12, np.int64)
         self.size = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
@@ -95,9 +95,13 @@ class ChunkCache:
         """The place of each chunk in the tables, after new ones have been encoded."""
         if len(self.index) > self.limit or self.chars > self.most_chars:
             self._clear()
-        out = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        if new := self.index.new:
-            self.index.new = []
+        index = self.index
+        out = np.fromiter(map(index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(at := np.flatnonzero(out < 0)):
+            missing = [chunks[i] for i in at.tolist()]
+            new = list(dict.fromkeys(missing))
+            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+            out[at] = np.fromiter(map(index.__getitem__, missing), np.int64, len(missing))
             self._add(new)
         return out
 

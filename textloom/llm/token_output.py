@@ -27,7 +27,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -214,26 +214,20 @@ class WordEncoder:
         if not self.plain:
             return self._encode_any(new)
         stems, others = _Places(), []
-        stem_at, mark_of = np.zeros(len(new), np.int64), [""] * len(new)
-        for k, word in enumerate(new):
-            if word.isalpha() and word.isascii():
-                stem_at[k] = stems[word.lower()]
-                continue
-            stem = word.rstrip(".,")
-            if stem.isalpha() and stem.isascii():
-                stem_at[k], mark_of[k] = stems[stem.lower()], word[len(stem) :]
-                continue
-            mark = ""
-            if not word.isalpha():
-                found = _PLAIN.fullmatch(word)
-                if not found or not found[1].isalpha():
-                    others.append(k)
-                    continue
-                word, mark = found.groups()
-            if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):
+        # most are Latin-1 letters, perhaps with a full stop or comma
+        bare = [w.rstrip(".,") for w in new]
+        mark_of = [w[len(s) :] if len(s) < len(w) else "" for s, w in zip(bare, new, strict=True)]
+        easy = np.fromiter((s.isalpha() and (s.isascii() or max(s) < "\u0100") for s in bare), bool, len(bare))
+        stem_at = np.zeros(len(new), np.int64)
+        stem_at[easy] = np.fromiter((stems[s.lower()] for s in compress(bare, easy.tolist())), np.int64, int(easy.sum()))
+        for k in np.flatnonzero(~easy).tolist():
+            mark_of[k] = ""
+            found = _PLAIN.fullmatch(new[k])
+            stem = found[1] if found else ""
+            if not stem.isalpha() or (not stem.isascii() and (max(stem) >= "\u0250" or "\u0130" in stem)):
                 others.append(k)
                 continue
-            stem_at[k], mark_of[k] = stems[word.lower()], mark
+            stem_at[k], mark_of[k] = stems[stem.lower()], found[2]
         # three parts, put one behind the other: stems, marks, all other pieces
         parts = [self._encode_stems(list(stems))] if stems else [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
         for m in set(mark_of).difference(self.marks):
