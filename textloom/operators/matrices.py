@@ -6,8 +6,14 @@ A corpus is a DataFrame with doc_id, content and metadata columns. Matrices are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
 
@@ -146,33 +152,79 @@ def wide(matrix: DataFrame, terms: list[str], value: str) -> DataFrame:
     return matrix.groupBy("doc_id").pivot("term", terms).agg(F.first(value)).na.fill(0)
 
 
+#: Rows of a block of `cosine_pairs`.
+BLOCK = 512
+
+
+def _pack_rows(schema: pa.Schema):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        sizes = np.array([len(x) for x in table.column("idx").to_pylist()], "<i4")
+        idx, val = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("idx", "val"))
+        columns = [[k.as_py()] for k in key] + [[table.column("doc_id").to_pylist()], [sizes.tobytes()], [idx.astype("<i4").tobytes()], [val.astype("<f8").tobytes()]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def _products(a: tuple, b: tuple, columns: int = 4096) -> np.ndarray:
+    """Dot products of all rows of two blocks of sparse rows (sizes, idx, val), over the columns that both have."""
+    out = np.zeros((len(a[0]), len(b[0])))
+    shared = np.intersect1d(a[1], b[1])
+    for low in range(0, len(shared), columns):
+        part = shared[low : low + columns]
+        dense = []
+        for sizes, idx, val in (a, b):
+            at = np.minimum(np.searchsorted(part, idx), len(part) - 1)
+            hit = part[at] == idx
+            x = np.zeros((len(sizes), len(part)))
+            x[np.repeat(np.arange(len(sizes)), sizes)[hit], at[hit]] = val[hit]
+            dense.append(x)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _similar(by: list[str], min_cos: float, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
+                a, b = ((np.frombuffer(row[f"sizes_{x}"], "<i4"), np.frombuffer(row[f"idx_{x}"], "<i4"), np.frombuffer(row[f"val_{x}"], "<f8")) for x in "ab")
+                cosine = np.round(_products(a, b), 6)
+                found = [(row["ids_a"][x], row["ids_b"][y], float(cosine[x, y])) for x, y in np.argwhere(cosine >= min_cos).tolist()]
+                if row["i"] == row["j"]:
+                    found = [f for f in found if f[0] < f[1]]
+                found = [f if f[0] < f[1] else (f[1], f[0], f[2]) for f in found]
+                columns = [[row[c]] * len(found) for c in by] + [[f[k] for f in found] for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    return run
+
+
 def cosine_pairs(matrix: DataFrame, min_cos: float, by: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     """(by..., doc_a, doc_b, cosine) of pairs doc_a < doc_b with at least min_cos; rows of the matrix have length 1.
 
-    For rows of non-negative values: the terms of a row are put in the order of their
-    frequency, and a pair can reach min_cos only if it shares a term among those whose
-    remaining norm is still min_cos in one of the two rows; so only these are indexed, and
-    very common terms, on which most partial products fall, mostly aren't. The candidates
-    are verified with whole rows.
+    Every pair is compared, as the terms of a capped vocabulary are in most documents: rows
+    are packed sparsely into blocks, and each pair of blocks is one product of dense matrices.
+    Only similar pairs leave it. Work grows with the square of the documents, as it does for
+    the full matrix; what is shuffled grows with that square divided by the block size.
     """
     by = list(by)
     cells = matrix.filter(~F.lower("term").isin([e.lower() for e in exclude])) if exclude else matrix
     if exclude:  # rows without the excluded terms get length 1 again
         cells = cells.withColumn("tfidf", F.col("tfidf") / F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf")).over(Window.partitionBy(*by, "doc_id"))))
-    common = cells.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    rows = cells.join(common, [*by, "term"]).groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "tfidf"))).alias("cells"))
-    least = F.lit(min_cos * min_cos - 1e-9)
-    # terms from which on the rest of the row is long enough; rows have length 1
-    walk = F.aggregate("cells", F.struct(F.lit(1.0).alias("left"), F.lit(0).alias("n")), lambda s, c: F.struct((s["left"] - c["tfidf"] * c["tfidf"]).alias("left"), (s["n"] + F.when(s["left"] >= least, 1).otherwise(0)).alias("n")))
-    rows = rows.withColumn("n_index", walk["n"])
-    index = rows.select(*by, "doc_id", F.explode(F.slice("cells", 1, F.greatest("n_index", F.lit(1)))).alias("c")).select(*by, "doc_id", F.col("c.term").alias("term"))
-    pairs = index.withColumnRenamed("doc_id", "doc_a").join(index.withColumnRenamed("doc_id", "doc_b"), [*by, "term"]).filter("doc_a < doc_b").select(*by, "doc_a", "doc_b").dropDuplicates()
-    vectors = rows.select(*by, "doc_id", F.map_from_entries(F.transform("cells", lambda c: F.struct(c["term"], c["tfidf"]))).alias("m"))
-    left = vectors.select(*by, F.col("doc_id").alias("doc_a"), F.col("m").alias("m_a"))
-    right = vectors.select(*by, F.col("doc_id").alias("doc_b"), F.col("m").alias("m_b"))
-    both = pairs.join(left, [*by, "doc_a"]).join(right, [*by, "doc_b"])
-    dot = F.aggregate(F.map_entries("m_a"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.element_at(F.col("m_b"), e["key"]), F.lit(0.0)))
-    return both.select(*by, "doc_a", "doc_b", F.round(dot, 6).alias("cosine")).filter(F.col("cosine") >= min_cos)
+    terms = cells.select("term").distinct().withColumn("i", F.row_number().over(Window.orderBy("term")))
+    rows = cells.join(terms, "term").groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "tfidf"))).alias("c")).select(*by, "doc_id", F.col("c.i").alias("idx"), F.col("c.tfidf").alias("val"))
+    sized = rows.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(sized), by) if by else rows.crossJoin(F.broadcast(sized))  # one row, or one per interval
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("blocks")
+    names = [T_.StructField(c, matrix.schema[c].dataType) for c in by]
+    packed_type = T_.StructType([*names, T_.StructField("block", T_.IntegerType()), T_.StructField("ids", T_.ArrayType(T_.StringType())), *[T_.StructField(c, T_.BinaryType()) for c in ("sizes", "idx", "val")]])
+    packed = dealt.groupBy(*by, "block").applyInArrow(_pack_rows(to_arrow_schema(packed_type)), packed_type)
+    side = {x: packed.select(*by, F.col("block").alias(n), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "sizes", "idx", "val")]) for x, n in (("a", "i"), ("b", "j"))}
+    grid = sized.select(*by, "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select(*by, "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
+    both = grid.join(side["a"], [*by, "i"]).join(side["b"], [*by, "j"])
+    result = T_.StructType([*names, T_.StructField("doc_a", T_.StringType()), T_.StructField("doc_b", T_.StringType()), T_.StructField("cosine", T_.DoubleType())])
+    return both.mapInArrow(_similar(by, min_cos, to_arrow_schema(result)), result)
 
 
 def cosine_all(matrix: DataFrame) -> DataFrame:
