@@ -168,9 +168,9 @@ def kwic(text: Column, term: str, context: int, whole_word: bool = False, ignore
     """Hits as array<struct<left, match, right>>: up to `context` characters of the same line on either side; hits don't overlap, and of several within the left context the last is the match."""
     core = rf"\b{quote(term)}\b" if whole_word else quote(term)
     pattern = f"(?d{'U' if whole_word else ''}{'iu' if ignore_case else ''})(.{{0,{context}}})({core})(.{{0,{context}}})"
-    text = F.coalesce(text, F.lit(""))
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("left", "match", "right"), strict=True)]), lambda z: F.struct(z["left"].alias("left"), z["match"].alias("match"), z["right"].alias("right")))
+    hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
+    # within a hit the same expression finds the same parts
+    return F.transform(hits, lambda h: F.struct(*[F.regexp_extract(h, pattern, g).alias(n) for g, n in ((1, "left"), (2, "match"), (3, "right"))]))
 
 
 def contains_words(text: Column, terms: list[str]) -> Column:

@@ -49,10 +49,10 @@ def slice_counts(corpus: DataFrame, intervals: list[tuple[int, int]] = ()) -> Da
     for a, b in intervals:
         inside = F.coalesce(F.col("year").between(a, b), F.lit(False))
         tags.append(F.when(inside, F.array(F.struct(F.lit("interval").alias("kind"), F.lit(f"{a}-{b}").alias("slice")))).otherwise(F.array().cast("array<struct<kind:string,slice:string>>")))
-    # counts per document first: the slices of a document share them
-    per_doc = corpus.select("doc_id", F.concat(*tags).alias("tags"), T.tokens(F.col("content")).alias("ts"))
-    rows = per_doc.select(F.explode("tags").alias("tag"), "ts").select("tag.kind", "tag.slice", F.explode("ts").alias("term"))
-    return rows.groupBy("kind", "slice", "term").agg(F.count("*").alias("n"))
+    # documents of the same slices are counted together before the slices part
+    per_doc = corpus.select(F.concat(*tags).alias("tags"), T.tokens(F.col("content")).alias("ts"))
+    rows = per_doc.select("tags", F.explode("ts").alias("term")).groupBy("tags", "term").agg(F.count("*").alias("n"))
+    return rows.select(F.explode("tags").alias("tag"), "term", "n").groupBy("tag.kind", "tag.slice", "term").agg(F.sum("n").alias("n"))
 
 
 def slice_header(counts: DataFrame) -> DataFrame:
