@@ -31,7 +31,6 @@ from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -274,7 +273,7 @@ def _with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarr
 def _blocks(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held(("words", path), lambda: WordEncoder(path))
-        shard, block, first = TaskContext.get().partitionId(), 0, 0
+        shard, block, first = None, 0, 0  # of a task's documents the first one's shard; they are in the order of the shards
         waiting: list[tuple[list, np.ndarray, np.ndarray]] = []
         n_waiting = 0
 
@@ -291,6 +290,8 @@ def _blocks(path: str, end_id: int):
 
         for batch in batches:
             doc_ids, at = batch.column(0).to_pylist(), 0
+            if shard is None and batch.num_rows:
+                shard = batch.column(2)[0].as_py()
             for i in range(0, batch.num_rows, 256):
                 for texts in slices(batch.column(1).slice(i, 256).to_pylist()):
                     ids, sizes = _with_end(*encoder.encode(texts), end_id)
@@ -306,8 +307,13 @@ def _blocks(path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """Writes the ids of docs (doc_id, text) to `path`, in ascending order of doc_id over the shards."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    ordered = ordered.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    n = shuffle_width(docs.sparkSession)
+    doc_id = F.col("doc_id").cast("long")
+    # the ranges come from the ids alone; a range exchange would read all texts for its sample
+    ends = docs.select(doc_id.alias("d")).agg(F.percentile_approx("d", [k / n for k in range(1, n)] or [1.0], 10_000).alias("ends")).first().ends or []
+    shard = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in sorted(set(ends))]), lambda e: e < F.col("doc_id"))) if n > 1 and ends else F.lit(0)
+    ordered = docs.select(doc_id.alias("doc_id"), text_of().alias("text")).withColumn("shard", F.coalesce(F.when(F.col("doc_id").isNull(), 0).otherwise(shard), F.lit(0)).cast("int"))
+    ordered = ordered.repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "text")
     ordered.mapInArrow(_blocks(tokenizer, end_id), _BLOCK_DDL).write.option("compression", "zstd").parquet(path)
 
 
