@@ -489,10 +489,8 @@ def topic_top_subset(spark, sf):
 
 def _placed(spark, sf):
     corpus = A.corpus(spark, sf)
-    entry = F.concat_ws(" ", T.metadata_entry(F.col("textclass"), F.col("genre"), F.lit(None).cast("string"), F.col("year")), "doc_id")
     # ids as file names on one side, to be matched without the extension
     meta = corpus.select(F.concat("doc_id", F.lit(".txt")).alias("doc_id"), "textclass", "genre", "year").withColumn("entry", F.concat_ws(" ", T.metadata_entry(F.col("textclass"), F.col("genre"), F.lit(None).cast("string"), F.col("year")), T.strip_txt(F.col("doc_id"))))
-    del entry
     mapped = topics.onto_metadata(topics.top_documents(A.doc_topic(spark, sf)), meta, F.col("entry"))
     return mapped.join(corpus.select("doc_id", "year"), "doc_id", "left")
 
