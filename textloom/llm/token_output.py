@@ -98,12 +98,13 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         step[_window_max(rank, known, COUNTS[k]) <= k] = COUNTS[k]
     hops = step.tobytes()
     at: list[int] = []
+    add = at.append
     first = np.zeros(len(sizes), np.int64)
     for d, (i, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
         first[d] = len(at)
         end = i + n
         while i < end:
-            at.append(i)
+            add(i)
             i += hops[i]
     where = np.array(at, np.int64)
     took = step[where]
