@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     pairs = cut(pairs)
     in_pairs = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).dropDuplicates()
     wanted = in_pairs if crowds is None else in_pairs.union(crowds.select("c")).dropDuplicates()
-    sets = written(sets.join(wanted, "c", "left_semi"), "sets")
+    # `wanted` is distinct; a semi-join would be moved below the join with `ones`, where a text's copies meet
+    sets = written(sets.join(wanted, "c"), "sets")
     side_a, side_b = (sets.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("w").alias(f"w_{x}"), F.col("gaps").alias(f"gaps_{x}")) for x in "ab")
     links = written(pairs.join(side_a, "a").join(side_b, "b").mapInArrow(_verify_pairs(similarity), "u binary, v binary, w_u long, w_v long"), "links")
     edges = links.select("u", "v")
