@@ -115,17 +115,17 @@ def pca_projection(spark, sf):
 
 @query("mds_projection")
 def mds_projection(spark, sf):
-    return models.mds(A.vectors(spark, sf).filter(F.substring("word", 2, 10).cast("int") < 500))
+    return models.mds(A.vectors(spark, sf))
 
 
 @query("agglomerative_clusters")
 def agglomerative_clusters(spark, sf):
-    return models.clusters(A.vectors(spark, sf).filter(F.substring("word", 2, 10).cast("int") < 500), 10)
+    return models.clusters(A.vectors(spark, sf), 10)
 
 
 @query("dendrogram")
 def dendrogram(spark, sf):
-    return models.dendrogram(A.vectors(spark, sf).filter(F.substring("word", 2, 10).cast("int") < 500))
+    return models.dendrogram(A.vectors(spark, sf))
 
 
 @query("kmeans_clusters")
