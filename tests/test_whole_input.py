@@ -14,3 +14,9 @@ def test_vectors_of_all_ids(spark, tmp_path):
     for name in ("mds_projection", "agglomerative_clusters"):
         assert {r.word for r in QUERIES[name](spark, str(tmp_path)).collect()} == words, name
     assert QUERIES["dendrogram"](spark, str(tmp_path)).count() == len(rows) - 1
+
+
+def test_terms_of_all_years(spark, tmp_path):
+    rows = [(i, "wort immer", "de", "src0") for i in (3, 49, 50, 99, 160)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.term: r.n for r in QUERIES["term_overview"](spark, str(tmp_path)).collect()} == {"wort": 5, "immer": 5}

@@ -249,7 +249,7 @@ def term_overview(spark, sf):
     corpus = A.corpus(spark, sf)
     n = matrices.nonempty(corpus).agg(F.count("*").alias("n"))
     means = matrices.term_means(_matrix(spark, sf), n).select("term", F.round("mean", 6).alias("mean"))
-    return explore.term_overview(matrices.term_counts(corpus.filter("year < 1850")), means)
+    return explore.term_overview(matrices.term_counts(corpus), means)
 
 
 @query("document_frequency", rf"WITH {CORPUS}, c AS (SELECT doc_id, len(regexp_extract_all(content, 'the')) + len(regexp_extract_all(content, 'de')) + len(regexp_extract_all(content, 'and')) AS count, len(regexp_extract_all(content, {W})) AS length FROM corpus) SELECT *, CASE WHEN length > 0 THEN round(count / length * 10000, 2) ELSE 0 END AS density FROM c WHERE count > 0")
