@@ -20,3 +20,36 @@ def test_terms_of_all_years(spark, tmp_path):
     rows = [(i, "wort immer", "de", "src0") for i in (3, 49, 50, 99, 160)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.term: r.n for r in QUERIES["term_overview"](spark, str(tmp_path)).collect()} == {"wort": 5, "immer": 5}
+
+
+def test_files_of_all_documents(spark, tmp_path):
+    rows = [(i, "wort", "de" if i % 2 else "en", "src0") for i in range(1, 31)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    merged = QUERIES["txt_metadata_merge"](spark, str(tmp_path)).collect()
+    assert sorted((r.file_name, r.id, r.lang) for r in merged) == sorted((f"d{i}.txt", f"d{i}", lang if i % 3 else None) for i, _, lang, _ in rows)
+    assert {r.file_name for r in QUERIES["txt_unmatched"](spark, str(tmp_path)).collect()} == {f"d{i}.txt" for i in range(3, 31, 3)}
+
+
+def test_fuzzy_match_of_all_parts(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, f"{rng.choice(('blue', 'red', 'tan'))} lace", rng.choice(("PROMO BRUSHED STEEL", "SMALL PLATED TIN", "ECONOMY BRUSHED NICKEL")), rng.randrange(1, 51)) for i in range(1, 61)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    meta = [(f"id_{i:05}", name.split(" ")[0], kind, str(1800 + size)) for i, name, kind, size in rows]
+
+    def text(n, m):
+        return (m[0], f"{m[1]}: {m[2]}. {m[3]}.", f"{m[1]} - {m[3]}.", f"text_{n}")[n % 4]
+
+    def strategy(t, doc_id, author, title, year):
+        low = t.lower()
+        has = author in low, year in low
+        if t == doc_id:
+            return 1
+        if all(has) and title[:20].lower() in low:
+            return 2
+        if sum(has) + (title[:15].lower() in low) >= 2:
+            return 3
+        return 4 if t.split("_")[-1].lstrip("0") == doc_id.split("_")[-1].lstrip("0") else 9
+
+    expected = {t: min((strategy(t, *m), m[0]) for m in meta) for t in {text(r[0], m) for r, m in zip(rows, meta, strict=True)}}
+    found = {r.text: (r.strategy, r.doc_id) for r in QUERIES["fuzzy_text_match"](spark, str(tmp_path)).collect()}
+    assert found == {t: e for t, e in expected.items() if e[0] < 9} and len(found) == len(expected)

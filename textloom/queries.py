@@ -132,8 +132,10 @@ def dedupe_ids(spark, sf):
 
 def _files(spark, sf):
     docs = A.load(spark, sf, "documents")
-    texts = docs.filter("doc_id % 5 <> 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text")
-    meta = docs.filter("doc_id % 3 <> 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "lang")
+    texts = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "text")
+    # every third row of metadata has an id that no file has
+    name = F.when(F.col("doc_id") % 3 == 0, F.lit("x")).otherwise(F.lit("d"))
+    meta = docs.select(F.concat(name, F.col("doc_id").cast("string")).alias("id"), "lang")
     return C.merge_texts(texts, meta)
 
 
@@ -576,7 +578,7 @@ def fuzzy_text_match(spark, sf):
     meta = part.select(padded.alias("doc_id"), author.alias("author"), F.col("p_type").alias("title"), year.alias("year"))
     k = F.col("p_partkey") % 4
     text = F.when(k == 0, padded).when(k == 1, F.concat(author, F.lit(": "), "p_type", F.lit(". "), year.cast("string"), F.lit("."))).when(k == 2, F.concat(author, F.lit(" - "), year.cast("string"), F.lit("."))).otherwise(F.concat(F.lit("text_"), F.col("p_partkey").cast("string")))
-    return topics.fuzzy_match(part.filter("p_partkey % 7 = 0").select(text.alias("text")), meta)
+    return topics.fuzzy_match(part.select(text.alias("text")), meta)
 
 
 @query("doc_topic_aggregate", f"WITH {DOC_TOPIC}, seg AS (SELECT doc_id AS _id, (doc_id::BIGINT % 50)::VARCHAR AS source_id FROM (SELECT DISTINCT doc_id FROM doc_topic)), n AS (SELECT source_id, count(*) AS n FROM seg GROUP BY source_id) SELECT source_id, topic, round(sum(weight) / any_value(n), 6) AS weight FROM doc_topic JOIN seg ON _id = doc_id JOIN n USING (source_id) GROUP BY source_id, topic")
