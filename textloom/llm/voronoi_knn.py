@@ -64,13 +64,17 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.sqrt(((x - pivots[at]) ** 2).sum(1))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one query: highest score, then smallest id."""
-    if len(scores) > 4 * k:
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, repeated: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of one query: highest score, then smallest id. Of equal scores of one id (which need repeated ids) one counts."""
+    if not repeated and len(scores) > 4 * k:
         cut_at = np.partition(scores, len(scores) - k)[len(scores) - k]
         keep = scores >= cut_at
         scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((-ids, scores))[::-1][:k]
+    order = np.lexsort((-ids, scores))[::-1]
+    if repeated and len(order):
+        s, v = scores[order], ids[order]
+        order = order[np.append(True, (s[1:] != s[:-1]) | (v[1:] != v[:-1]))]
+    order = order[:k]
     return scores[order], ids[order]
 
 
@@ -83,9 +87,10 @@ def _solve(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
     else:
         scores, none = q.astype(np.int64) @ x.astype(np.int64).T, np.iinfo(np.int64).min
     scores[q_ids[:, None] == ids[None, :]] = none  # a query is no candidate of its own
+    repeated = len(np.unique(ids)) < len(ids)
     out_q, out_v, out_s = [], [], []
     for i, row in enumerate(scores):
-        s, v = _best(row, ids, k)
+        s, v = _best(row, ids, k, repeated)
         for a, b in zip(s.tolist(), v.tolist(), strict=True):
             if a != none:
                 out_q.append(int(q_ids[i]))
@@ -133,10 +138,12 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
         asks = table.column("query").to_numpy().astype(bool)
         q, q_ids = x[asks], ids[asks]
         out_q, out_v, out_s = _solve(q_ids, q, ids, x, k)
-        found: dict[int, list[int]] = {}
-        for a, s in zip(out_q, out_s, strict=True):
-            found.setdefault(a, []).append(s)
-        floor = [float(found[a][k - 1]) if len(found.get(a, ())) >= k else -np.inf for a in q_ids.tolist()]
+        # what the result counts: rows of one id ask together, and equal rows count once
+        found: dict[int, set[tuple[int, int]]] = {}
+        for a, v, s in zip(out_q, out_v, out_s, strict=True):
+            found.setdefault(a, set()).add((s, v))
+        floors = {a: float(sorted(f, reverse=True)[k - 1][0]) for a, f in found.items() if len(f) >= k}
+        floor = [floors.get(a, -np.inf) for a in q_ids.tolist()]
         one = {"g": [key[0].as_py()], "b": [key[1].as_py()], "q_ids": [q_ids.tobytes()], "q": [q.astype(np.int32).tobytes()], "ids": [ids.tobytes()], "x": [x.astype(np.int32).tobytes()], "best_q": [out_q], "best_v": [out_v], "best_s": [out_s], "floor": [floor]}
         return pa.table(one, schema=pa.schema([("g", pa.int32()), ("b", pa.int32()), *[(c, pa.binary()) for c in ("q_ids", "q", "ids", "x")], *[(c, pa.list_(pa.int64())) for c in ("best_q", "best_v", "best_s")], ("floor", pa.list_(pa.float64()))]))
 
