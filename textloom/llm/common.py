@@ -50,6 +50,11 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tagged(df: DataFrame) -> DataFrame:
+    """`df` with a number of each row, __tag, stored: splits of a scan may change between two plans, and tags computed again with them."""
+    return written(df.withColumn("__tag", F.monotonically_increasing_id()), "tagged")
+
+
 def text_of(column: str = "text") -> Column:
     """The text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -22,11 +22,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_cache import release
-from .common import cut, shuffle_width, text_of
+from .common import cut, shuffle_width, tagged, text_of
 
 SLOTS = 4
 MAX_KICKS = 256
@@ -166,9 +166,10 @@ def _combine(flush_at: int | None):
     return run
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, tag) of every row; tag tells repeated rows apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(), 256)).alias("digest"), F.monotonically_increasing_id().alias("tag"))
+def digests(docs: DataFrame, tag: Column | None = None) -> DataFrame:
+    """(doc_id, digest, tag) of every row; tag (by default a new one) tells repeated rows apart."""
+    tag = F.monotonically_increasing_id() if tag is None else tag
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(), 256)).alias("digest"), tag.alias("tag"))
 
 
 def build_index(keys: DataFrame, flush_at: int = 200_000) -> DataFrame:
@@ -196,9 +197,9 @@ def apply_changes(index: DataFrame, inserted: DataFrame, deleted: DataFrame) ->
     return every.repartition(shuffle_width(index.sparkSession), "digest").sortWithinPartitions("op").mapInArrow(run, _RECORD_DDL)
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
+def exact_dedup(docs: DataFrame, tag: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 and tag (see `digests`)."""
-    keys = cut(digests(docs))
+    keys = cut(digests(docs, tag))
     groups = build_index(keys)
     return keys.join(groups, "digest").select(
         "doc_id",
@@ -216,10 +217,10 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first_class(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. docs must be a file scan (its row tags are computed twice)."""
-    tagged = docs.withColumns({"__tag": F.monotonically_increasing_id()})
-    gone = exact_dedup(docs).filter(~F.col("kept")).select(F.col("tag").alias("__tag"))
-    return tagged.join(gone, "__tag", "left_anti").drop("__tag")
+    """The rows of docs that stay, with all their columns."""
+    rows = tagged(docs)
+    gone = exact_dedup(rows, F.col("__tag")).filter(~F.col("kept")).select(F.col("tag").alias("__tag"))
+    return rows.join(gone, "__tag", "left_anti").drop("__tag")
 
 
 OP6_SQL = """

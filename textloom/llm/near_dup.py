@@ -31,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_cache import held, release, slices
-from .common import cut, text_of, written
+from .common import cut, tagged, text_of, written
 from .components import components
 from .shingles import WordHasher, mix, shingle_hashes, words_of
 
@@ -215,10 +215,11 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table(one, schema=pa.schema([("crowd", pa.binary()), ("block", pa.int32()), ("cs", pa.binary()), ("ws", pa.binary()), ("sets", pa.list_(pa.binary()))]))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, target: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """doc_id, class_id, n_links, set_id, tag and kept (whether it is the one of its group that stays) of every row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, target: float = RECALL, trees: int = TREES, depth: int = DEPTH, tag: Column | None = None) -> DataFrame:
+    """doc_id, class_id, n_links, set_id, tag (by default a new one) and kept (whether it is the one of its group that stays) of every row of docs (doc_id, text)."""
+    tag = F.monotonically_increasing_id() if tag is None else tag
     depth = prefix_depth(target, trees, depth, similarity)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tag"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), text_of().alias("text"))
     prints = written(rows.mapInArrow(_fingerprints(trees, depth, width), _PRINT), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
     classes = cut(prints.select("doc_id", "tag", "c").groupBy("c").agg(first, F.count("*").alias("w")))
@@ -271,6 +272,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each group. docs must be a file scan (its row tags are computed twice)."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("tag").alias("__tag"))
-    return docs.withColumn("__tag", F.monotonically_increasing_id()).join(gone, "__tag", "left_anti").drop("__tag")
+    """The rows of docs that stay, with all their columns: one of each group."""
+    rows = tagged(docs)
+    gone = near_duplicates(rows, tag=F.col("__tag")).filter(~F.col("kept")).select(F.col("tag").alias("__tag"))
+    return rows.join(gone, "__tag", "left_anti").drop("__tag")

@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, text_of, written
+from .common import cut, small, tagged, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of a mention that are its context, looked for in so many characters.
@@ -150,9 +150,10 @@ def disclosing(found: DataFrame, texts: DataFrame, ratio: float = DISCLOSURE) ->
     return known.filter(F.log(F.col("n_ew") / F.col("n_e") / p_word) >= F.greatest(F.lit(ratio) * information, F.lit(1e-9))).select("e", "w")
 
 
-def spans_of(docs: DataFrame, ratio: float = DISCLOSURE) -> DataFrame:
+def spans_of(docs: DataFrame, ratio: float = DISCLOSURE, tag: Column | None = None) -> DataFrame:
     """doc_id, tag (of the row, see exact_dedup.digests), the counts, base_sha256, base, and terms array<struct<a, b>> of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tag"), text_of().alias("text"))
+    tag = F.monotonically_increasing_id() if tag is None else tag
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), text_of().alias("text"))
     found = written(rows.mapInArrow(_find, _FOUND), "pii")
     told = small(cut(disclosing(found, docs.select("text"), ratio)))
     words = found.filter(F.size("m") > 0).select("tag", F.explode("m").alias("m")).select("tag", F.col("m.e").alias("e"), F.explode("m.t").alias("t"))
@@ -189,9 +190,10 @@ def rewrite(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def sanitised(docs: DataFrame, ratio: float = DISCLOSURE) -> DataFrame:
-    """docs (a file scan: its row tags are computed twice) with `text` sanitised."""
-    marks = spans_of(docs.select("doc_id", "text"), ratio).select(F.col("tag").alias("__tag"), _all_spans().alias("__spans")).filter("__spans <> ''")
-    tagged = docs.withColumn("__tag", F.monotonically_increasing_id()).join(marks, "__tag", "left").drop("__tag")
+    """docs with `text` sanitised."""
+    rows = tagged(docs)
+    marks = spans_of(rows, ratio, F.col("__tag")).select(F.col("tag").alias("__tag"), _all_spans().alias("__spans")).filter("__spans <> ''")
+    marked = rows.join(marks, "__tag", "left").drop("__tag")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,4 +206,4 @@ def sanitised(docs: DataFrame, ratio: float = DISCLOSURE) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return tagged.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(run, docs.schema)
