@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,7 +36,7 @@ def test_words_hold_as_many_ids_as_fit():
 @given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("abcde,.'  \n")), max_size=30), min_size=1, max_size=8))
 def test_ids_are_the_librarys(texts):
     texts = [*texts, "<|endoftext|> don't <|x"]
-    ids, sizes = ENCODER.encode(texts)
+    ids, sizes = ENCODER.encode(pa.array(texts))
     want = [x.ids for x in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
     assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
@@ -43,7 +44,7 @@ def test_ids_are_the_librarys(texts):
 def test_cache_forgets(monkeypatch):
     cache = ChunkCache(lambda new: (np.array([len(c) for c in new], np.uint32), np.ones(len(new), np.int64)), limit=3)
     for parts in ([["a", "bb"]], [["ccc", "dddd", "a"]], [["bb"], [], ["a", "a"]]):
-        ids, sizes = cache.encode(parts)
+        ids, sizes = cache.encode(pa.array(parts, pa.list_(pa.string())))
         assert ids.tolist() == [len(c) for p in parts for c in p] and sizes.tolist() == list(map(len, parts))
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -46,6 +47,24 @@ def test_ids_and_counts_are_the_librarys(model, library):
         assert model.decode(np.array(ids, np.int64)) == t
 
 
+def test_chunks_of_columns_are_those_of_texts(model):
+    made = [*texts(), "a  b\n \nc", "▁x ▁▁y", " \x00 cut\x01 ", "  "]
+    for part in (made, made[:50]):
+        assert [[c for c in cs if c] for cs in model.chunk_lists(pa.array(part)).to_pylist()] == [model.chunks(t) for t in part]
+
+
+def test_other_normalisation_is_refused(tmp_path):
+    for change in ("charsmap", "symbol"):
+        m = proto.ModelProto.FromString(open(PATH, "rb").read())
+        if change == "charsmap":
+            m.normalizer_spec.remove_extra_whitespaces = True
+        else:
+            m.pieces[500].type = proto.ModelProto.SentencePiece.USER_DEFINED
+        (tmp_path / change).write_bytes(m.SerializeToString())
+        with pytest.raises(ValueError):
+            unigram.Unigram(str(tmp_path / change))
+
+
 def test_stream_commits_early_and_finds_the_same(model, monkeypatch):
     rng = random.Random(1)
     t = "".join(rng.choice("abcdefgh") for _ in range(6000))

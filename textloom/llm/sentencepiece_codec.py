@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunk_cache import ChunkCache, held, slices
+from .chunk_cache import ChunkCache, byte_slices, give_back, held
 from .common import text_of
 from .unigram import model
 
+
 def _cache(path: str) -> ChunkCache:
     unigram = model(path)
 
@@ -38,27 +39,25 @@ def _cache(path: str) -> ChunkCache:
     return held(("pieces", path), lambda: ChunkCache(encode_new))
 
 
-def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """ids of all texts, one after the other, and the number of ids of each."""
-    unigram = model(path)
-    return _cache(path).encode([unigram.chunks(t) for t in texts])
+    return _cache(path).encode(model(path).chunk_lists(texts))
 
 
-def encode(df: DataFrame, path: str, column: str = "text") -> DataFrame:
-    """df with `ids` array<int>."""
-    kept = [c for c in df.columns if c != "ids"]
+def encode(df: DataFrame, path: str, column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all, if None) and `ids` array<int>. What isn't kept isn't sent to the Python workers."""
+    kept = [c for c in (df.columns if keep is None else keep) if c != "ids"]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], text_of(f"`{column}`").alias("__text"))
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for texts in slices(batch.column(batch.num_columns - 1).to_pylist()):
-                ids, sizes = encode_texts(path, texts)
+            texts = batch.column(batch.num_columns - 1)
+            for at, n in byte_slices(texts, 2_000_000):
+                ids, sizes = encode_texts(path, texts.slice(at, n))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids.astype(np.int32)))
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*kept, "ids"])
-                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, n).columns[:-1], lists], names=[*kept, "ids"])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -84,16 +83,14 @@ def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unigram = model(path)
         for batch in batches:
-            doc_ids, at = batch.column(0), 0
-            for i in range(0, batch.num_rows, 256):
-                for texts in slices(batch.column(1).slice(i, 256).to_pylist()):
-                    ids, sizes = encode_texts(path, texts)
-                    edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-                    each = [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-                    same = [unigram.decode(x) == t for x, t in zip(each, texts, strict=True)]
-                    crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in each]
-                    yield pa.RecordBatch.from_arrays([doc_ids.slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
-                    at += len(texts)
+            for at, n in byte_slices(batch.column(1)):
+                part = batch.slice(at, n)
+                ids, sizes = encode_texts(path, part.column(1))
+                edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges, edges[1:], strict=False)]
+                same = [unigram.decode(ids[a:b]) == t for a, b, t in zip(edges, edges[1:], part.column(1).to_pylist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
     return run
 

@@ -17,32 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_cache import ChunkCache, held, slices
+from .chunk_cache import ChunkCache, byte_slices, held, list_edges
 from .common import text_of
 from .unigram import model
 
 
 class _Counts:
-    """Counts and scores of chunks: a ChunkCache whose "ids" are the places of results."""
+    """Counts and scores of chunks, one pair for each."""
 
     def __init__(self, path: str):
         self.unigram = model(path)
-        self.cache = ChunkCache(self._new)
-        self.scores = np.zeros(0)
+        self.cache = ChunkCache(self._new, dtype=np.dtype([("n", np.int64), ("score", np.float64)]))
 
     def _new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.unigram.count_chunk(c) for c in chunks]
-        if self.cache.used == 0:
-            self.scores = np.zeros(0)
-        self.scores = ChunkCache._grown(self.scores, self.cache.used + len(found))
-        self.scores[self.cache.used : self.cache.used + len(found)] = [s for _, s in found]
-        return np.array([n for n, _ in found], np.uint32), np.ones(len(found), np.int64)
-
-    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self.unigram.chunks(t) for t in texts]
-        place = self.cache.places([c for p in parts for c in p])
-        edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        totals = [np.concatenate([[0], np.cumsum(x)]) for x in (self.cache.flat[place].astype(np.int64), self.scores[place])]
+        return np.array([self.unigram.count_chunk(c) for c in chunks], self.cache.flat.dtype), np.ones(len(chunks), np.int64)
+
+    def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = self.unigram.chunk_lists(texts)
+        found, edges = self.cache.flat[self.cache.looked_up(parts.flatten())], list_edges(parts)
+        totals = [np.concatenate([[0], np.cumsum(found[c])]) for c in ("n", "score")]
         return tuple(t[edges[1:]] - t[edges[:-1]] for t in totals)
 
 
@@ -50,12 +43,9 @@ def _run(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held(("counts", path), lambda: _Counts(path))
         for batch in batches:
-            at = 0
-            for i in range(0, batch.num_rows, 256):
-                for texts in slices(batch.column(1).slice(i, 256).to_pylist()):
-                    n, score = counts.count(texts)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "score"])
-                    at += len(texts)
+            for at, n in byte_slices(batch.column(1)):
+                tokens, score = counts.count(batch.column(1).slice(at, n))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(tokens, pa.int64()), pa.array(score, pa.float64())], names=["doc_id", "n_tokens", "score"])
 
     return run
 

@@ -27,14 +27,15 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunk_cache import ChunkCache, _Places, held, release, slices
+from .chunk_cache import ChunkCache, byte_slices, gathered, held, list_edges, release
 from .common import scratch_path, shuffle_width, text_of
 
 #: The ids in a word and the bits of each, for selectors 1 to 14.
@@ -148,7 +149,11 @@ def unpack(words: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, escapes: n
 #: The normaliser and pre-tokenizer under which a word of plain letters is one pre-token, and marks after it another.
 _PLAIN_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
 _PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = re.compile(r"([^\W\d_]+)([^\w\s'\u0250-\U0010FFFF]*)")
+#: ASCII marks that are taken off the end of a piece; an apostrophe begins a pre-token of its own.
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in "'_")
+_MARK_PATTERN = "^(?s:.*?)([" + "".join("\\" + c for c in _MARKS) + "]*)$"
+#: Latin-1 letters: NFC leaves them as they are.
+_LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -164,9 +169,10 @@ class WordEncoder:
     Only for tokenizers whose pre-tokenizer never joins characters across white space and
     whose normaliser doesn't look across it; then the ids of the pieces are those of the text.
     New pieces are encoded together, parted by a special token of the tokenizer. If the file
-    has the normaliser and pre-tokenizer named above and marks word ends, pieces of letters
-    (below U+0250, where NFC changes nothing) and marks after them go to the library's BPE as
-    words already normalised, which is several times faster and gives the same ids.
+    has the normaliser and pre-tokenizer named above and marks word ends, pieces of Latin-1
+    letters (where NFC changes nothing) and marks after them go to the library's BPE as words
+    already normalised, which is several times faster and gives the same ids. The pieces of a
+    slice of text are made distinct before any of this.
     """
 
     def __init__(self, path: str):
@@ -175,7 +181,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special)
-        self.cache = ChunkCache(self._encode_new, limit=600_000, chars=18_000_000)
+        self.pieces = ChunkCache(self._encode_any, limit=150_000, chars=4_000_000)
         made = json.loads(self.tokenizer.to_str())
         steps = (made.get("normalizer") or {}).get("normalizers", [])
         cuts = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -188,7 +194,7 @@ class WordEncoder:
             self.is_end = np.zeros(max(vocab.values()) + 1, bool)
             self.is_end[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
             self.letters = _byte_letters()
-            self.marks: dict[str, list[int]] = {"": []}
+            self.stems = ChunkCache(self._encode_stems)
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
@@ -210,57 +216,34 @@ class WordEncoder:
         ids = np.array(list(chain.from_iterable(found)), np.uint32)
         return ids, np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
 
-    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.plain:
-            return self._encode_any(new)
-        stems, others = _Places(), []
-        # most are Latin-1 letters, perhaps with a full stop or comma
-        bare = [w.rstrip(".,") for w in new]
-        mark_of = [w[len(s) :] if len(s) < len(w) else "" for s, w in zip(bare, new, strict=True)]
-        easy = np.fromiter((s.isalpha() and (s.isascii() or max(s) < "\u0100") for s in bare), bool, len(bare))
-        stem_at = np.zeros(len(new), np.int64)
-        stem_at[easy] = np.fromiter((stems[s.lower()] for s in compress(bare, easy.tolist())), np.int64, int(easy.sum()))
-        for k in np.flatnonzero(~easy).tolist():
-            mark_of[k] = ""
-            found = _PLAIN.fullmatch(new[k])
-            stem = found[1] if found else ""
-            if not stem.isalpha() or (not stem.isascii() and (max(stem) >= "\u0250" or "\u0130" in stem)):
-                others.append(k)
-                continue
-            stem_at[k], mark_of[k] = stems[stem.lower()], found[2]
-        # three parts, put one behind the other: stems, marks, all other pieces
-        parts = [self._encode_stems(list(stems))] if stems else [(np.zeros(0, np.uint32), np.zeros(0, np.int64))]
-        for m in set(mark_of).difference(self.marks):
-            self.marks[m] = self._ids(self.tokenizer, [m])[0]
-        marks = _Places()
-        mark_at = np.fromiter((marks[m] for m in mark_of), np.int64, len(new))
-        parts.append((np.array([i for m in marks for i in self.marks[m]], np.uint32), np.array([len(self.marks[m]) for m in marks], np.int64)))
-        parts.append(self._encode_any([new[k] for k in others]) if others else (np.zeros(0, np.uint32), np.zeros(0, np.int64)))
-        if len(self.marks) > 10_000:
-            self.marks = {"": []}
-        flat = np.concatenate([ids for ids, _ in parts])
-        sizes = np.concatenate([n for _, n in parts])
-        begin = np.cumsum(sizes) - sizes
-        first = stem_at.copy()
-        first[others] = len(stems) + len(marks) + np.arange(len(others))
-        pieces = np.stack([first, mark_at + len(stems)], 1).ravel()  # a piece of the third kind has no marks
-        n = sizes[pieces]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[pieces] - (ends - n), n) + np.arange(int(ends[-1]))]
-        return ids, n.reshape(-1, 2).sum(1)
-
-    def _cut(self, text: str) -> list[str]:
-        """Pieces between blanks and line feeds. Where lower-casing is certain to be what the normaliser does, it is done here, so that fewer pieces differ."""
-        if self.plain and "<|" not in text:
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return text.replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.encode([self._cut(t) for t in texts])
+            place = self.pieces.places(pieces.to_pylist())
+            ids, ends = gathered(self.pieces.flat, self.pieces.start[place], self.pieces.size[place])
+            return ids, self.pieces.size[place]
+        bare = pc.utf8_rtrim(pieces, _MARKS)
+        easy = pc.match_substring_regex(bare, _LETTERS)
+        is_easy = easy.to_numpy(zero_copy_only=False)
+        begin, size = np.zeros((len(pieces), 2), np.int64), np.zeros((len(pieces), 2), np.int64)
+        # a stem of letters and its marks, or a piece of any other kind, each from its own cache
+        stem = self.stems.looked_up(pc.utf8_lower(bare.filter(easy)))
+        mark = self.pieces.looked_up(pa.concat_arrays([pc.replace_substring_regex(pieces.filter(easy), _MARK_PATTERN, r"\1"), pieces.filter(pc.invert(easy))]))
+        mark, other = mark[: len(stem)], mark[len(stem) :]
+        begin[is_easy, 0], size[is_easy, 0] = self.stems.start[stem], self.stems.size[stem]
+        used = self.stems.used
+        begin[is_easy, 1], size[is_easy, 1] = used + self.pieces.start[mark], self.pieces.size[mark]
+        begin[~is_easy, 0], size[~is_easy, 0] = used + self.pieces.start[other], self.pieces.size[other]
+        ids, _ = gathered(np.concatenate([self.stems.flat[:used], self.pieces.flat[: self.pieces.used]]), begin.ravel(), size.ravel())
+        return ids, size.sum(1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, one after the other, and the number of ids of each."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        flat, sizes = self._encode_distinct(coded.dictionary)
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        ids, ends = gathered(flat, (np.cumsum(sizes) - sizes)[place], sizes[place])
+        return ids, np.diff(np.concatenate([[0], ends])[list_edges(lists)])
 
 
 _BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), *[(c, pa.binary()) for c in ("doc_ids", "sizes", "offsets", "words", "escapes")], ("null_ids", pa.int64())])
@@ -290,16 +273,15 @@ def _blocks(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK.types, strict=True)], schema=_BLOCK)
 
         for batch in batches:
-            doc_ids, at = batch.column(0).to_pylist(), 0
+            doc_ids = batch.column(0).to_pylist()
             if shard is None and batch.num_rows:
                 shard = batch.column(2)[0].as_py()
-            for i in range(0, batch.num_rows, 256):
-                for texts in slices(batch.column(1).slice(i, 256).to_pylist()):
-                    ids, sizes = _with_end(*encoder.encode(texts), end_id)
-                    waiting.append((doc_ids[at : at + len(texts)], ids, sizes))
-                    at, n_waiting = at + len(texts), n_waiting + len(ids)
-                    if n_waiting >= BLOCK_IDS:
-                        yield close()
+            for at, n in byte_slices(batch.column(1)):
+                ids, sizes = _with_end(*encoder.encode(batch.column(1).slice(at, n)), end_id)
+                waiting.append((doc_ids[at : at + n], ids, sizes))
+                n_waiting += len(ids)
+                if n_waiting >= BLOCK_IDS:
+                    yield close()
         if waiting:
             yield close()
 

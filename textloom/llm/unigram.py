@@ -7,7 +7,8 @@ in texts whose sums pass 2**24 its own rounding decides). Ties go as in the libr
 sums at one boundary the one whose last piece is longest stays, a single unknown character
 comes last. An unknown character becomes its UTF-8 bytes where the model has byte pieces,
 else a run of them is one unknown id. White space is escaped, a blank is put before the
-text; other normalisation than the identity, and user-defined symbols, are not supported.
+text; a model with other normalisation than the identity or with user-defined symbols is
+refused.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = "▁"
 UNK_PENALTY = 10.0
@@ -27,8 +30,15 @@ LOOK = 256
 class Unigram:
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        made = proto.ModelProto.FromString(model.serialized_model_proto())
+        rules = made.normalizer_spec
+        if rules.precompiled_charsmap or not rules.add_dummy_prefix or rules.remove_extra_whitespaces or not rules.escape_whitespaces or made.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError(f"{path}: only models without normalisation, with escaped blanks and one before the text")
+        if any(p.type == proto.ModelProto.SentencePiece.USER_DEFINED for p in made.pieces):
+            raise ValueError(f"{path}: user-defined symbols")
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.unk_id = model.unk_id()
@@ -61,6 +71,7 @@ class Unigram:
         self.bytes_for_unknown = len(self.byte_ids) == 256
         # before a blank that follows another character all paths meet, if blanks only begin pieces; around a line feed, if no piece joins it
         feed = "" if "\n" in joined else "\\n"
+        self.feeds = bool(feed)
         self.parts = re.compile(f"{SPACE}+[^{SPACE}{feed}]*|[^{SPACE}{feed}]+" + ("|\\n" if feed else "")) if not any(SPACE in p.lstrip(SPACE) for p in self.pieces) else None
 
     def chunks(self, text: str) -> list[str]:
@@ -70,6 +81,21 @@ class Unigram:
         text = SPACE + text.replace(" ", SPACE)
         return self.parts.findall(text) if self.parts else [text]
 
+    def chunk_lists(self, texts: pa.Array) -> pa.ListArray:
+        """Chunks of each text, as `chunks` gives them, some of them empty."""
+        cut = next((c for c in "\x00\x01\x02\x03" if not pc.any(pc.match_substring(texts, c)).as_py()), None) if self.parts else None
+        if cut is None:
+            return pa.array([self.chunks(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        texts = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(" ", texts, ""))
+        texts = pc.replace_substring(texts, SPACE, " ")
+        wide = pc.match_substring(texts, "  ")
+        marked = pc.replace_substring(texts, " ", f"{cut} ")
+        if pc.any(wide).as_py():
+            marked = pc.replace_with_mask(marked, wide, pc.replace_substring_regex(texts.filter(wide), " +", f"{cut}\\0"))
+        if self.feeds:
+            marked = pc.replace_substring(marked, "\n", f"{cut}\n{cut}")
+        return pc.split_pattern(pc.replace_substring(marked, " ", SPACE), cut)
+
     def _unknown(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode()] if self.bytes_for_unknown else [self.unk_id]
 
