@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the token ids of each document."""
-    found = sentencepiece_codec.encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
