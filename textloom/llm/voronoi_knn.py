@@ -9,14 +9,17 @@ whose bound is below a query's score so far can't add to its result, and only th
 of the other groups get a copy of the query, in chunks of queries of one group. There
 they are solved by one matrix product per chunk and block, and the best k of all partial
 results are kept. Bounds are in float64 with a margin for rounding; scores are exact: they
-are computed in float64 only where it holds every sum, else in 64-bit integers.
-
-Rows: vectors that are null, hold null or non-finite components, or have a component
-of 2**28 or more after scaling (whose scores might not fit a long) take no part. Vectors of fewer dimensions than the longest count as padded with zeros;
-an empty vector is the zero vector. A null vec_id takes no part. Rows with the same
-vec_id are candidates of their own, but none of them is a candidate of a query with
-that id, and equal rows of one result are given once. Ties go to the smaller vec_id. An
-empty table gives an empty result. Columns other than vec_id and embedding play no part.
+are computed in float64 only where it holds every sum, else in 64-bit or in unbounded
+integers.
+
+Rows: vectors that are null or hold null or non-finite components take no part; every
+other one does. A score among the k best of a block that doesn't fit a long, or a component
+that is infinite once scaled, is an error. Vectors of fewer dimensions than the longest
+count as padded with zeros; an empty vector is the zero vector. A null vec_id takes no
+part. Each row is a candidate of its own, so that a repeated row can fill several ranks,
+and each query row has a result of its own; rows with the vec_id of a query are not among
+its candidates. Ties go to the smaller vec_id. An empty table gives an empty result. Columns
+other than vec_id and embedding play no part.
 """
 
 from __future__ import annotations
@@ -24,9 +27,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -35,14 +37,17 @@ BLOCK = 2048
 CHUNK = 256
 #: Pivots: the square root of the number of vectors, up to this bound; they and their summaries are broadcast.
 MAX_PIVOTS = 2048
-LIMIT = 1 << 28
+_LONG = np.iinfo(np.int64)
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v array<long>) of the vectors that take part: floor(scale * x) of each component."""
+    """(vec_id, v array<double>) of the vectors that take part: floor(scale * x) of each component, whole numbers."""
     x = F.col("embedding").cast("array<double>")
-    fine = F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) * scale >= LIMIT))
-    return vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"))
+    inf = F.lit(float("inf"))
+    fine = F.col("vec_id").isNotNull() & x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == inf))
+    # from 2**53 on every double is whole
+    floor = F.transform(x, lambda e: F.when(F.abs(e * scale) < 2.0**53, F.floor(e * scale).cast("double")).otherwise(e * scale))
+    return vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), floor.alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
@@ -64,39 +69,45 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.sqrt(((x - pivots[at]) ** 2).sum(1))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, repeated: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one query: highest score, then smallest id. Of equal scores of one id (which need repeated ids) one counts."""
-    if not repeated and len(scores) > 4 * k:
-        cut_at = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= cut_at
-        scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((-ids, scores))[::-1]
-    if repeated and len(order):
-        s, v = scores[order], ids[order]
-        order = order[np.append(True, (s[1:] != s[:-1]) | (v[1:] != v[:-1]))]
-    order = order[:k]
-    return scores[order], ids[order]
+def _stored(x: np.ndarray) -> bytes:
+    """Rows as 32-bit integers if they fit, else as float64."""
+    return x.astype("<i4" if np.abs(x).max(initial=0) < 2**31 else "<f8").tobytes()
+
+
+def _loaded(raw: bytes, rows: int, dims: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i4" if len(raw) == 4 * rows * dims else "<f8").reshape(rows, dims).astype(np.float64)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of one query: highest score, then smallest id."""
+    place = np.arange(len(scores))
+    if len(scores) > 4 * k and scores.dtype != object:
+        place = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return place[np.lexsort((-ids[place], scores[place]))[::-1][:k]]
 
 
-def _solve(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list, list, list]:
-    """Best k of each query among x: lists of query ids, vector ids, scores."""
+def _solve(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best k of each query among x: places of the queries, vector ids, scores."""
     if not len(q) or not len(x):
-        return [], [], []
-    if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2.0**53:
-        scores, none = q @ x.T, -np.inf
+        return tuple(np.zeros((3, 0), np.int64))
+    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, q.shape[1])
+    if most < 2.0**53:
+        scores = q @ x.T
+    elif most < 2.0**62:
+        scores = q.astype(np.int64) @ x.astype(np.int64).T
     else:
-        scores, none = q.astype(np.int64) @ x.astype(np.int64).T, np.iinfo(np.int64).min
-    scores[q_ids[:, None] == ids[None, :]] = none  # a query is no candidate of its own
-    repeated = len(np.unique(ids)) < len(ids)
+        scores = np.array([[int(c) for c in r] for r in q], object) @ np.array([[int(c) for c in r] for r in x], object).T
     out_q, out_v, out_s = [], [], []
     for i, row in enumerate(scores):
-        s, v = _best(row, ids, k, repeated)
-        for a, b in zip(s.tolist(), v.tolist(), strict=True):
-            if a != none:
-                out_q.append(int(q_ids[i]))
-                out_v.append(b)
-                out_s.append(int(a))
-    return out_q, out_v, out_s
+        others = ids != q_ids[i]  # a query is no candidate of its own
+        own, row = (ids, row) if others.all() else (ids[others], row[others])
+        best = _best(row, own, k)
+        out_q.append(np.full(len(best), i))
+        out_v.append(own[best])
+        if row.dtype == object and any(not _LONG.min <= s <= _LONG.max for s in row[best]):
+            raise OverflowError(f"a score of query {q_ids[i]} doesn't fit a long")
+        out_s.append(row[best].astype(np.int64))
+    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
 def knn_join(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
@@ -121,74 +132,73 @@ def knn_join(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
             at, far = _nearest(_matrix(batch.column(1), dims), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "g", "far"])
 
-    dealt = cut(data.mapInArrow(deal, "vec_id long, v array<long>, g int, far double").withColumn("query", is_query))
+    # t: a number of each row, stored once
+    dealt = cut(data.mapInArrow(deal, "vec_id long, v array<double>, g int, far double").withColumn("query", is_query).withColumn("t", F.monotonically_increasing_id()))
     # one row per pivot, of which there are MAX_PIVOTS at most
     summary = dealt.groupBy("g").agg(F.count("*").alias("n"), F.max("far").alias("far")).orderBy("g").collect()
     used = np.array([s.g for s in summary])
     radius = np.array([s.far for s in summary])
     blocks = np.array([-(-s.n // BLOCK) for s in summary])
     groups = spark.createDataFrame([(int(s.g), int(b)) for s, b in zip(summary, blocks, strict=True)], "g int, blocks int")
-    placed = dealt.join(F.broadcast(groups), "g").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    placed = dealt.join(F.broadcast(groups), "g").withColumn("b", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
 
-    local_schema = "g int, b int, q_ids binary, q binary, ids binary, x binary, best_q array<long>, best_v array<long>, best_s array<long>, floor array<double>"
+    local_schema = "g int, b int, n long, q_ids binary, ts binary, q binary, ids binary, x binary, best_t array<long>, best_q array<long>, best_v array<long>, best_s array<long>, floor array<double>"
 
     def local(key: tuple, table: pa.Table) -> pa.Table:
         x = _matrix(table.column("v").combine_chunks(), dims)
-        ids = table.column("vec_id").to_numpy()
+        ids, ts = (table.column(c).to_numpy() for c in ("vec_id", "t"))
         asks = table.column("query").to_numpy().astype(bool)
-        q, q_ids = x[asks], ids[asks]
+        q, q_ids, ts = x[asks], ids[asks], ts[asks]
         out_q, out_v, out_s = _solve(q_ids, q, ids, x, k)
-        # what the result counts: rows of one id ask together, and equal rows count once
-        found: dict[int, set[tuple[int, int]]] = {}
-        for a, v, s in zip(out_q, out_v, out_s, strict=True):
-            found.setdefault(a, set()).add((s, v))
-        floors = {a: float(sorted(f, reverse=True)[k - 1][0]) for a, f in found.items() if len(f) >= k}
-        floor = [floors.get(a, -np.inf) for a in q_ids.tolist()]
-        one = {"g": [key[0].as_py()], "b": [key[1].as_py()], "q_ids": [q_ids.tobytes()], "q": [q.astype(np.int32).tobytes()], "ids": [ids.tobytes()], "x": [x.astype(np.int32).tobytes()], "best_q": [out_q], "best_v": [out_v], "best_s": [out_s], "floor": [floor]}
-        return pa.table(one, schema=pa.schema([("g", pa.int32()), ("b", pa.int32()), *[(c, pa.binary()) for c in ("q_ids", "q", "ids", "x")], *[(c, pa.list_(pa.int64())) for c in ("best_q", "best_v", "best_s")], ("floor", pa.list_(pa.float64()))]))
+        # the k-th best of a query within its block; copies count, as they do in the result
+        floor = np.full(len(q), -np.inf)
+        last = np.flatnonzero(np.diff(out_q, append=-1) != 0)
+        full = last[np.bincount(out_q, minlength=len(q))[out_q[last]] == k]
+        floor[out_q[full]] = out_s[full]
+        one = {"g": [key[0].as_py()], "b": [key[1].as_py()], "n": [len(x)], "q_ids": [q_ids.tobytes()], "ts": [ts.tobytes()], "q": [_stored(q)], "ids": [ids.tobytes()], "x": [_stored(x)], "best_t": [ts[out_q]], "best_q": [q_ids[out_q]], "best_v": [out_v], "best_s": [out_s], "floor": [floor]}
+        return pa.table(one, schema=pa.schema([("g", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("q_ids", "ts", "q", "ids", "x")], *[(c, pa.list_(pa.int64())) for c in ("best_t", "best_q", "best_v", "best_s")], ("floor", pa.list_(pa.float64()))]))
 
-    packed = cut(placed.select("g", "b", "vec_id", "v", "query").groupBy("g", "b").applyInArrow(local, local_schema))
+    packed = cut(placed.select("g", "b", "vec_id", "v", "query", "t").groupBy("g", "b").applyInArrow(local, local_schema))
 
     bounds = spark.sparkContext.broadcast((used, pivots[used], radius))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks of a block's queries with each group that may hold a better candidate of at least one of them."""
-        names = ["g", "from_g", "from_b", "q_ids", "q"]
+        schema = pa.schema([*[(c, pa.int32()) for c in ("g", "from_g", "from_b")], *[(c, pa.binary()) for c in ("q_ids", "ts", "q")]])
+        use, centre, far = bounds.value
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q"], np.int32).reshape(-1, dims)
-                floor = np.array(row["floor"], dtype=np.float64)
-                use, centre, far = bounds.value
-                size = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-                top = q @ centre.T + size[:, None] * far[None, :]
-                able = top * (1 + 1e-9) + 1e-6 * (1 + size[:, None]) >= floor[:, None]
-                able |= ~np.isfinite(floor)[:, None]
+                q_ids, ts = (np.frombuffer(row[c], np.int64) for c in ("q_ids", "ts"))
+                q = _loaded(row["q"], len(q_ids), dims)
+                floor = np.array(row["floor"], dtype=np.float64)[:, None]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    size = np.sqrt((q**2).sum(1))[:, None]
+                    slack = 1e-9 * size * (np.sqrt((centre**2).sum(1)) + far)[None, :] + 1e-6
+                    able = ~(q @ centre.T + size * far[None, :] + slack < floor)  # a bound that isn't a number prunes nothing
                 for j in range(len(use)):
                     hit = np.flatnonzero(able[:, j])
                     for s in range(0, len(hit), CHUNK):
                         part = hit[s : s + CHUNK]
-                        yield pa.RecordBatch.from_pydict({"g": pa.array([use[j]], pa.int32()), "from_g": pa.array([row["g"]], pa.int32()), "from_b": pa.array([row["b"]], pa.int32()), "q_ids": pa.array([q_ids[part].tobytes()], pa.binary()), "q": pa.array([q[part].tobytes()], pa.binary())}, schema=pa.schema(list(zip(names, [pa.int32()] * 3 + [pa.binary()] * 2, strict=True))))
+                        values = [use[j], row["g"], row["b"], q_ids[part].tobytes(), ts[part].tobytes(), _stored(q[part])]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
-    asked = packed.filter(F.length("q_ids") > 0).select("g", "b", "q_ids", "q", "floor").mapInArrow(send, "g int, from_g int, from_b int, q_ids binary, q binary")
+    asked = packed.filter(F.length("q_ids") > 0).select("g", "b", "q_ids", "ts", "q", "floor").mapInArrow(send, "g int, from_g int, from_b int, q_ids binary, ts binary, q binary")
     # a chunk goes to every block of the group but its own: that one has been solved
     asked = asked.join(F.broadcast(groups), "g").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter((F.col("g") != F.col("from_g")) | (F.col("b") != F.col("from_b")))
-    pairs = asked.select("g", "b", "q_ids", "q").join(packed.select("g", "b", "ids", "x"), ["g", "b"])
+    pairs = asked.select("g", "b", "q_ids", "ts", "q").join(packed.select("g", "b", "n", "ids", "x"), ["g", "b"])
 
     def remote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["q_ids", "q", "ids", "x"]).to_pylist():
-                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, x = (np.frombuffer(row[c], np.int32).reshape(-1, dims).astype(np.float64) for c in ("q", "x"))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _solve(q_ids, q, ids, x, k)], names=["query_id", "vec_id", "score"])
-
-    far_part = pairs.mapInArrow(remote, "query_id long, vec_id long, score long")
-    near_part = packed.select(F.explode(F.arrays_zip("best_q", "best_v", "best_s")).alias("z")).select(F.col("z.best_q").alias("query_id"), F.col("z.best_v").alias("vec_id"), F.col("z.best_s").alias("score"))
-    every = near_part.unionByName(far_part)
-    from pyspark.sql import Window
-
-    turn = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = every.dropDuplicates().withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= k)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                q_ids, ts, ids = (np.frombuffer(row[c], np.int64) for c in ("q_ids", "ts", "ids"))
+                at, v, s = _solve(q_ids, _loaded(row["q"], len(q_ids), dims), ids, _loaded(row["x"], row["n"], dims), k)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ts[at], q_ids[at], v, s)], names=["t", "query_id", "vec_id", "score"])
+
+    far_part = pairs.mapInArrow(remote, "t long, query_id long, vec_id long, score long")
+    near_part = packed.select(F.explode(F.arrays_zip("best_t", "best_q", "best_v", "best_s")).alias("z")).select(F.col("z.best_t").alias("t"), F.col("z.best_q").alias("query_id"), F.col("z.best_v").alias("vec_id"), F.col("z.best_s").alias("score"))
+    turn = Window.partitionBy("t").orderBy(F.desc("score"), "vec_id")
+    ranked = near_part.unionByName(far_part).withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
@@ -198,9 +208,9 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS t, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+s AS (SELECT q.t, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5
 """
