@@ -60,3 +60,13 @@ def test_files(spark, docs, empty, tmp_path, monkeypatch):
         start += len(ids)
     O.write_tokens(empty, PATH, str(tmp_path / "e"))
     assert O.document_digests(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_cache_grows_and_keeps_what_is_used():
+    made = []
+    cache = ChunkCache(lambda new: (made.extend(new), (np.array([int(c) for c in new for _ in range(int(c) % 3)], np.uint32), np.array([int(c) % 3 for c in new], np.int64)))[1], limit=5_000)
+    for step in range(12):
+        texts = [[str(i) for i in [*range(100), *range(step * 4000, step * 4000 + 4000)]], []]
+        ids, sizes = cache.encode(pa.array(texts, pa.list_(pa.string())))
+        assert ids.tolist() == [int(c) for c in texts[0] for _ in range(int(c) % 3)] and sizes.tolist() == [len(ids), 0]
+    assert made.count("7") == 1 and len(cache.index) <= 9_100

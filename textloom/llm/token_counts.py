@@ -34,7 +34,8 @@ class _Counts:
 
     def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = self.unigram.chunk_lists(texts)
-        found, edges = self.cache.flat[self.cache.looked_up(parts.flatten())], list_edges(parts)
+        place, edges = self.cache.looked_up(parts.flatten()), list_edges(parts)
+        found = self.cache.flat[self.cache.start[place]]
         totals = [np.concatenate([[0], np.cumsum(found[c])]) for c in ("n", "score")]
         return tuple(t[edges[1:]] - t[edges[:-1]] for t in totals)
 
