@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         hooked = cut(hooked)
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = cut(hooked.join(jump, "label").select("node", F.least("label", "next").alias("label"), "old"))
+        # the least node of a large component is the label of all of it
+        new = cut(join_hot(hooked, jump, "label", ["next"]).select("node", F.least("label", "next").alias("label"), "old"))
         changed = new.filter("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:
