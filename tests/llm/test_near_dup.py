@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from textloom.llm import common
+from textloom.llm import components as C
 from textloom.llm import near_dup as N
 from textloom.llm.shingles import words_of
 
@@ -53,7 +55,7 @@ def found_in(spark, path, rows):
     return sorted((r.doc_id, r.class_id, r.n_links) for r in N.near_duplicates(spark.read.parquet(path)).collect())
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3, 5])
 def test_against_all_pairs(spark, tmp_path, monkeypatch, seed):
     rows = texts(seed, 260)
     want, first = sorted(brute(rows)), None
@@ -65,6 +67,8 @@ def test_against_all_pairs(spark, tmp_path, monkeypatch, seed):
         assert all(a[2] <= b[2] for a, b in zip(found, want, strict=True))
         assert first in (None, found)  # the ways for small and for large nodes find the same links
         first = found
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)  # joins by shuffle, hot keys apart
+    assert first == found_in(spark, str(tmp_path / "d"), rows)
 
 
 def test_prefixes_are_shortened_only_where_it_is_needed(spark, tmp_path, monkeypatch):
@@ -94,6 +98,18 @@ def test_depth_is_shortened_to_the_target():
     assert N.recall(depth) >= N.RECALL > N.recall(depth + 1)
 
 
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 180), rng.randrange(100, 180)) for _ in range(50)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    one = sorted(map(tuple, C.components(df).collect()))
+    monkeypatch.setattr(C, "ONE_TASK", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, C.components(df).collect())) == one and (40, 0) in one
+    monkeypatch.setattr(C, "ONE_TASK", 9)
+    assert C.components(df.limit(0)).count() == 0
+
+
 def test_common_counts():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint32)) for _ in range(12)]

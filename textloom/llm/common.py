@@ -65,26 +65,35 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows up to which `small` lets a table be broadcast; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if a count shows that it has few rows. For tables that are cheap to count (kept ones)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df computed once, and marked for broadcast if it then has few rows."""
+    return small(cut(df))
+
+
 #: Part of a table's rows from which a key counts as hot in `join_hot`; so at most as many keys do.
 HOT_PARTS = 1000
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Inner join of left with right's `columns`; right has one row per key at most, while a key may hold much of left.
+    """Inner join of left with right's `columns`; right, a kept table, has one row per key at most, while a key may hold much of left.
 
-    Keys that hold a thousandth of left's rows or more are at most HOT_PARTS; their rows of
-    right are broadcast, so that rows of left that share such a key stay where they are.
+    If right is too large to be broadcast, keys that hold a thousandth of left's rows or more
+    are at most HOT_PARTS; their rows of right are broadcast, so that rows of left that share
+    such a key stay where they are.
     """
+    right = right.select(key, *columns)
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key)
     n = left.count()
     hot = cut(left.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") * HOT_PARTS >= n).select(key))
-    hot_right = F.broadcast(right.select(key, *columns).join(F.broadcast(hot), key))
-    return left.join(hot_right, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right.select(key, *columns), key))
-
-
-#: Rows up to which `small` lets a table be broadcast; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if a count shows that it has few rows. For tables that are cheap to count (kept ones)."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    hot_right = F.broadcast(right.join(F.broadcast(hot), key))
+    return left.join(hot_right, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))

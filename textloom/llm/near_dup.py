@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_cache import held, release, slices
-from .common import cut, join_hot, small, tagged, text_of, written
+from .common import cut, few, join_hot, small, tagged, text_of, written
 from .components import components
 from .shingles import WordHasher, mix, shingle_hashes, words_of
 
@@ -55,8 +55,8 @@ TREES, DEPTH = 16, 8
 RECALL = 0.99
 #: Classes in a node up to which their pairs are formed one by one.
 SMALL = 24
-#: Classes in a block of a crowd.
-BLOCK = 256
+#: Classes in a block of a crowd; a crowd of m ships its sets m / BLOCK times.
+BLOCK = 512
 
 
 def recall(depth: int, trees: int = TREES, similarity=SIMILARITY):
@@ -288,28 +288,28 @@ class _Join:
         large = nodes.filter(f"m > {SMALL}").select("k", F.col("a.c").alias("v"))
         if not large.limit(1).count():
             return None
-        return components(rows.join(small(large), "k").select(F.col("c").alias("u"), "v")).select(F.col("node").alias("c"), F.col("label").alias("crowd"))
+        return small(components(rows.join(small(large), "k").select(F.col("c").alias("u"), "v")).select(F.col("node").alias("c"), F.col("label").alias("crowd")))
 
     def pairs(self, rows: DataFrame, nodes: DataFrame, crowds: DataFrame | None) -> DataFrame:
         """(a, b) of classes that share a node of at most SMALL, one of them open, and aren't in the same crowd."""
-        few = nodes.filter(f"m between 3 and {SMALL}").select("k")
-        lists = rows.join(few, "k").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "child", "open"))).alias("xs"))
+        wanted = small(nodes.filter(f"m between 3 and {SMALL}").select("k"))
+        lists = rows.join(wanted, "k").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("c", "child", "open"))).alias("xs"))
         each = lists.select(F.explode(F.expr("flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, size(xs)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
         each = each.unionByName(nodes.filter("m = 2").select("a", "b")).filter("a.c <> b.c and a.child <> b.child and (a.open or b.open)")
         each = each.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).dropDuplicates()
         if crowds is not None:
-            of_a, of_b = (crowds.select(F.col("c").alias(x), F.col("crowd").alias(f"crowd_{x}")) for x in "ab")
+            of_a, of_b = (small(crowds.select(F.col("c").alias(x), F.col("crowd").alias(f"crowd_{x}"))) for x in "ab")
             each = each.join(of_a, "a", "left").join(of_b, "b", "left").filter("crowd_a is null or crowd_b is null or crowd_a <> crowd_b").select("a", "b")
-        return cut(each)
+        return few(each)
 
     def in_blocks(self, crowds: DataFrame, closed: DataFrame | None, level: int) -> DataFrame:
         """Links within crowds. Blocks of open classes are compared with all, those of closed ones not with each other."""
-        members = crowds.withColumn("open", F.lit(True)) if closed is None else crowds.join(closed.select("c", F.lit(False).alias("open")), "c", "left").fillna(True, ["open"])
+        members = crowds.withColumn("open", F.lit(True)) if closed is None else crowds.join(_shut(closed), "c", "left").fillna(True, ["open"])
         sized = members.groupBy("crowd").agg(F.ceil(F.sum(F.col("open").cast("int")) / BLOCK).cast("int").alias("opens"), F.ceil(F.sum((~F.col("open")).cast("int")) / BLOCK).cast("int").alias("rest"))
-        sized = cut(sized)
+        sized = small(cut(sized))
         block = F.when(F.col("open"), F.pmod(F.xxhash64("c"), F.col("opens"))).otherwise(F.col("opens") + F.pmod(F.xxhash64("c"), F.col("rest"))).cast("int")
         dealt = join_hot(members, sized, "crowd", ["opens", "rest"]).select("c", "crowd", "open", block.alias("block"))
-        packed = self.sets.join(dealt, "c").select("crowd", "block", "c", "w", "paths", "open", "gaps").groupBy("crowd", "block").applyInArrow(_pack, "crowd binary, block int, cs binary, ws binary, paths binary, open binary, sets array<binary>")
+        packed = self.sets.join(few(dealt), "c").select("crowd", "block", "c", "w", "paths", "open", "gaps").groupBy("crowd", "block").applyInArrow(_pack, "crowd binary, block int, cs binary, ws binary, paths binary, open binary, sets array<binary>")
         packed = written(packed, "blocks")
         grid = sized.filter("opens > 0").select("crowd", F.explode(F.sequence(F.lit(0), F.col("opens") - 1)).alias("i"), (F.col("opens") + F.col("rest")).alias("all"))
         grid = grid.select("crowd", "i", F.explode(F.sequence("i", F.col("all") - 1)).alias("j"))
@@ -321,7 +321,7 @@ class _Join:
         """Edges (u, v), and (c, w, n, stands) of links, among classes that share the prefix of this level and none longer, one of them not in `closed`."""
         child = F.col(f"k{level + 1}") if level + 1 < len(self.depths) else F.xxhash64("c")
         rows = self.tries.select("c", F.col(f"k{level}").alias("k"), child.alias("child"))
-        rows = rows.withColumn("open", F.lit(True)) if closed is None else rows.join(closed.select("c", F.lit(False).alias("open")), "c", "left").fillna(True, ["open"])
+        rows = rows.withColumn("open", F.lit(True)) if closed is None else rows.join(_shut(closed), "c", "left").fillna(True, ["open"])
         one = F.struct("c", "child", "open")
         nodes = rows.groupBy("k").agg(F.count("*").alias("m"), F.min(one).alias("a"), F.max(one).alias("b"), F.min("child").alias("first"), F.max("child").alias("last"), F.max("open").alias("open"))
         nodes = cut(nodes.filter("m > 1 and open and first <> last").drop("first", "last", "open"))
@@ -341,6 +341,10 @@ class _Join:
         return edges, degrees
 
 
+def _shut(closed: DataFrame) -> DataFrame:
+    return small(closed.select("c", F.lit(False).alias("open")))
+
+
 def _summed(degrees: DataFrame, depths: list[int]) -> DataFrame:
     return degrees.groupBy("c").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.array(*[F.sum(F.col("stands")[i]) for i in range(len(depths))]).alias("stands"))
 
@@ -354,26 +358,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     prints = written(rows.mapInArrow(_fingerprints(trees, depth, least, width), _PRINT), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("first")
     classes = cut(prints.select("doc_id", "tag", "c").groupBy("c").agg(first, F.count("*").alias("w")))
-    ones = classes.select(F.col("first.tag").alias("tag"), "w")
+    ones = small(classes.select(F.col("first.tag").alias("tag")))
     run, schema = _tries(trees, len(depths))
-    paths = written(prints.filter("paths is not null").select("tag", "c", "paths").join(ones.select("tag"), "tag", "left_semi").select("c", "paths").mapInArrow(run, schema), "paths")
+    paths = written(prints.filter("paths is not null").select("tag", "c", "paths").join(ones, "tag", "left_semi").select("c", "paths").mapInArrow(run, schema), "paths")
     shared = cut(paths.groupBy("k0").agg(F.count("*").alias("m")).filter("m > 1").select("k0"))
     tries = written(paths.join(small(shared), "k0").sortWithinPartitions(*[f"k{i}" for i in range(len(depths))]), "tries")
     # by the tag of the one row of a class that takes part: by class, all copies of a text would meet
     busy = tries.select("c").dropDuplicates().join(classes, "c").select(F.col("first.tag").alias("tag"), "w")
-    sets = written(prints.select("tag", "c", "n", "paths", "gaps").join(small(cut(busy)), "tag").drop("tag"), "sets")
+    sets = written(prints.select("tag", "c", "n", "paths", "gaps").join(few(busy), "tag").drop("tag"), "sets")
 
     join = _Join(tries, sets, similarity, trees, depths)
     edges, degrees, closed = None, None, None
     for level in range(len(depths) - 1, -1, -1):
         more, links = join.at(level, closed)
         edges = more if edges is None else edges.unionByName(more)
-        degrees = cut(_summed(links if degrees is None else degrees.unionByName(links), depths))
+        degrees = few(_summed(links if degrees is None else degrees.unionByName(links), depths))
         at_threshold = F.lit(1 / recall(depths[level], trees, similarity))
         if level:
-            closed = cut(degrees.filter((F.col("n") + 1) / (F.col("stands")[level] + at_threshold) >= target).select("c"))
-    groups = components(edges).select(F.col("node").alias("c"), F.col("label").alias("group"))
-    placed = classes.withColumnRenamed("w", "copies").join(groups, "c", "left").withColumn("group", F.coalesce("group", "c")).join(degrees.select("c", F.col("w").alias("links")), "c", "left")
+            closed = few(degrees.filter((F.col("n") + 1) / (F.col("stands")[level] + at_threshold) >= target).select("c"))
+    groups = small(components(edges).select(F.col("node").alias("c"), F.col("label").alias("group")))
+    placed = classes.withColumnRenamed("w", "copies").join(groups, "c", "left").withColumn("group", F.coalesce("group", "c")).join(small(degrees.select("c", F.col("w").alias("links"))), "c", "left")
     placed = cut(placed)
     heads = cut(placed.groupBy("group").agg(F.min("first").alias("head")))
     placed = join_hot(placed, heads, "group", ["head"]).select("c", F.col("head.doc_id").alias("class_id"), F.col("head.tag").alias("head_tag"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("first.doc_id").alias("set_id"))
