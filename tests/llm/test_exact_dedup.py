@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from textloom.llm import common
 from textloom.llm import exact_dedup as E
 
 
@@ -16,7 +17,7 @@ def test_index_inserts_deletes_and_resizes():
         else:
             assert index.insert(key, 1, 7, 0) == (key not in truth)
             truth[key] = truth.get(key, 0) + 1
-    assert {k: r[0] for k, r in index.stored.items()} == truth
+    assert {k: index.get(k)[0] for k in index.digests()} == truth and len(index) == len(truth)
     assert all(index.may_contain(k) for k in truth) and index.resizes > 0
     assert sum(index.may_contain(hashlib.sha256(f"no{i}".encode()).digest()) for i in range(5000)) < 50
 
@@ -55,6 +56,13 @@ def test_stage_keeps_columns_and_one_row_of_each(docs, empty):
     assert E.exact_dedup(empty).count() == 0 and E.keep_first_class(empty).count() == 0
 
 
+def test_small_indexes(docs, monkeypatch):
+    want = sorted(map(str, E.exact_dedup(docs).drop("tag").collect()))
+    monkeypatch.setattr(E, "FLUSH", 1)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, E.exact_dedup(docs).drop("tag").collect())) == want
+
+
 def test_changes_to_an_index(docs):
     index = E.build_index(E.digests(docs))
     gone = docs.filter("text = 'one two'").select(F.unhex(F.sha2("text", 256)).alias("digest")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (one machine, as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and everything runs in one process (as in tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -50,9 +53,18 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tagged(df: DataFrame) -> DataFrame:
-    """`df` with a number of each row, __tag, stored: splits of a scan may change between two plans, and tags computed again with them."""
-    return written(df.withColumn("__tag", F.monotonically_increasing_id()), "tagged")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def tagged(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` with a number of each row, stored, and that column's name: splits of a scan may change between two plans, and numbers computed again with them."""
+    tag = fresh(df, "row_tag")
+    return written(df.withColumn(tag, F.monotonically_increasing_id()), "tagged"), tag
 
 
 def text_of(column: str = "text") -> Column:

@@ -12,7 +12,7 @@ A leaf with budget A and N tokens gives A div N whole epochs and, from one more
 the first A mod N tokens of its documents in the order of a seeded hash of
 (epoch, doc_id). That prefix is found without sorting a leaf in one task: documents are
 counted in ranges of the hash, the range in which the prefix ends is found from the
-counts, and only that range is put in order.
+counts and counted in finer ranges, and only the one of those is put in order.
 
 Rows: documents with a null text have no tokens; null domain, language or source are a
 leaf value of their own (shown as null); nodes without a weight get weight 1, those with
@@ -27,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, fresh, small
 
-#: Ranges of the hash in each leaf; only the range in which a prefix ends is sorted.
-RANGES = 1024
+#: Ranges of the hash in each leaf, and of each such range again, so often: only a millionth of a leaf is sorted.
+RANGES, ROUNDS = 1024, 2
 SEED = 20240
 #: Part of all available tokens that the query's mix has.
 SHARE = 0.8
@@ -123,14 +123,17 @@ def plan(pieces: DataFrame, total: Column, weights: dict[str, dict[str, int]], m
     dealt = dealt.withColumn("epochs", F.when(F.col("tokens") > 0, F.expr("alloc div tokens")).otherwise(F.lit(1)).cast("long"))
     dealt = dealt.withColumn("need", F.when(F.col("tokens") > 0, F.col("alloc") - F.col("epochs") * F.col("tokens")).otherwise(F.lit(0)))
     open_leaves = dealt.filter("need > 0").select(*LEVELS, "epochs", "need")
-    width = (1 << 60) // ranges
-    hashed = _join(pieces, small(open_leaves), list(LEVELS)).withColumn("h", order_hash(F.col("doc_id"), F.col("epochs"), seed))
-    hashed = hashed.withColumn("part", F.expr(f"cast(h div {width} as int)"))
+    inside = _join(pieces, small(open_leaves), list(LEVELS)).withColumn("h", order_hash(F.col("doc_id"), F.col("epochs"), seed)).withColumn("before", F.lit(0).cast("long"))
     by_leaf = Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = hashed.groupBy(*LEVELS, "epochs", "need", "part").agg(F.sum("tokens").alias("n"))
-    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(by_leaf), F.lit(0)))
-    last = parts.filter("before < need and before + n >= need").select(*LEVELS, "part", "before")
-    inside = _join(hashed, small(cut(last)), [*LEVELS, "part"]).groupBy(*LEVELS, "part", "need", "before", "h", "doc_id").agg(F.sum("tokens").alias("tokens"))
+    width = 1 << 60
+    for _ in range(ROUNDS):
+        width = max(1, width // ranges)
+        inside = inside.withColumn("part", F.expr(f"h div {width}"))
+        parts = inside.groupBy(*LEVELS, "need", "before", "part").agg(F.sum("tokens").alias("n"))
+        parts = parts.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(by_leaf), F.lit(0)))
+        last = parts.filter("before < need and before + n >= need").select(*LEVELS, "part", "before")
+        inside = _join(inside.drop("before"), small(cut(last)), [*LEVELS, "part"]).drop("part")
+    inside = inside.groupBy(*LEVELS, "need", "before", "h", "doc_id").agg(F.sum("tokens").alias("tokens"))
     run = Window.partitionBy(*LEVELS).orderBy("h", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("start", F.col("before") + F.coalesce(F.sum("tokens").over(run), F.lit(0)))
     ends = inside.filter("start < need and start + tokens >= need").select(*LEVELS, F.col("h").alias("end_hash"), F.col("doc_id").alias("end_id"), (F.col("need") - F.col("start")).alias("end_tokens"))
@@ -171,14 +174,16 @@ def keep_selected(docs: DataFrame) -> DataFrame:
     pieces = cut(pieces_of(docs))
     made = plan(pieces, default_total(), WEIGHTS)
     cols = docs.columns
-    names = {k: f"__m_{k}" for k in made.columns}
+    names = {k: fresh(docs, f"mix_{k}") for k in made.columns}
     made = small(cut(made.withColumnsRenamed(names)))
-    tagged = docs.withColumn("__domain", domain_of(F.col("source")))
-    on = [tagged["__domain"].eqNullSafe(made["__m_domain"]), tagged["lang"].eqNullSafe(made["__m_lang"]), tagged["source"].eqNullSafe(made["__m_source"])]
-    h = order_hash(F.col("doc_id"), F.col("__m_epochs"), SEED)
-    inside = (h < F.col("__m_end_hash")) | ((h == F.col("__m_end_hash")) & (F.coalesce(F.col("doc_id") <= F.col("__m_end_id"), F.col("doc_id").isNull())))
-    keep = (F.col("__m_epochs") > 0) | F.coalesce(inside, F.lit(False))
-    return tagged.join(made, on).filter(keep).select(*[tagged[c] for c in cols])
+    domain = fresh(docs, "mix_domain_of")
+    placed = docs.withColumn(domain, domain_of(F.col("source")))
+    on = [placed[domain].eqNullSafe(made[names["domain"]]), placed["lang"].eqNullSafe(made[names["lang"]]), placed["source"].eqNullSafe(made[names["source"]])]
+    epochs, end_hash, end_id = (F.col(names[k]) for k in ("epochs", "end_hash", "end_id"))
+    h = order_hash(F.col("doc_id"), epochs, SEED)
+    inside = (h < end_hash) | ((h == end_hash) & (F.coalesce(F.col("doc_id") <= end_id, F.col("doc_id").isNull())))
+    keep = (epochs > 0) | F.coalesce(inside, F.lit(False))
+    return placed.join(made, on).filter(keep).select(*[placed[f"`{c}`"] for c in cols])
 
 
 def _sql_weight(level: str) -> str:

@@ -393,6 +393,6 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each group."""
-    rows = tagged(docs)
-    gone = near_duplicates(rows, tag=F.col("__tag")).filter(~F.col("kept")).select(F.col("tag").alias("__tag"))
-    return rows.join(gone, "__tag", "left_anti").drop("__tag")
+    rows, tag = tagged(docs)
+    gone = near_duplicates(rows, tag=F.col(f"`{tag}`")).filter(~F.col("kept")).select(F.col("tag").alias(tag))
+    return rows.join(gone, tag, "left_anti").drop(tag)

@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, tagged, text_of, written
+from .common import cut, fresh, small, tagged, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a mention that are its context, looked for in so many characters.
-WORDS, REACH = 6, 160
+#: Words on each side of a mention that are its context.
+WORDS = 6
+#: Characters in which they are looked for first; where these hold fewer, four times as many.
+REACH = 160
 MIN_CONTEXTS = 2
 DISCLOSURE = 0.5
 #: Context words of fewer letters don't count.
@@ -92,13 +94,33 @@ def _words(text: str, low: int, high: int) -> list[tuple[str, int, int]]:
     return out
 
 
+def _beside(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """The WORDS words before and after text[start:end], however far away they are."""
+    before, after = [], []
+    reach = REACH
+    while len(before) < WORDS:
+        low = max(0, start - reach)
+        before = _words(text, low, start)[-WORDS:]
+        if not low:
+            break
+        reach *= 4
+    reach = REACH
+    while len(after) < WORDS:
+        high = min(len(text), end + reach)
+        after = _words(text, end, high)[:WORDS]
+        if high == len(text):
+            break
+        reach *= 4
+    return before + after
+
+
 def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """For each base span its entity, its context and the context's words outside of all spans."""
     out = []
     for n, (start, end, kind) in enumerate(spans):
         value = text[start:end]
         value = value.lower() if kind < 2 else _DIGITS.sub("", value)
-        near = _words(text, max(0, start - REACH), start)[-WORDS:] + _words(text, end, min(len(text), end + REACH))[:WORDS]
+        near = _beside(text, start, end)
         around = spans[max(0, n - 2 * WORDS) : n + 2 * WORDS + 1]
         near = [w for w in near if not any(w[1] < b and a < w[2] for a, b, _ in around)]
         words = [w for w in near if len(w[0]) >= MIN_LETTERS]
@@ -191,9 +213,10 @@ def rewrite(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def sanitised(docs: DataFrame, ratio: float = DISCLOSURE) -> DataFrame:
     """docs with `text` sanitised."""
-    rows = tagged(docs)
-    marks = spans_of(rows, ratio, F.col("__tag")).select(F.col("tag").alias("__tag"), _all_spans().alias("__spans")).filter("__spans <> ''")
-    marked = rows.join(marks, "__tag", "left").drop("__tag")
+    rows, tag = tagged(docs)
+    spans = fresh(rows, "spans")
+    marks = spans_of(rows, ratio, F.col(f"`{tag}`")).select(F.col("tag").alias(tag), _all_spans().alias(spans)).filter(F.col(spans) != "")
+    marked = rows.join(marks, tag, "left").drop(tag)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def encode(df: DataFrame, path: str, column: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of df (all, if None) and `ids` array<int>. What isn't kept isn't sent to the Python workers."""
     kept = [c for c in (df.columns if keep is None else keep) if c != "ids"]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], text_of(f"`{column}`").alias("__text"))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], text_of(f"`{column}`"))
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +65,7 @@ def encode(df: DataFrame, path: str, column: str = "text", keep: list[str] | Non
 def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """df with `decoded` string."""
     kept = [c for c in df.columns if c != "decoded"]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{column}`").cast("array<int>"), F.array().cast("array<int>")).alias("__ids"))
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{column}`").cast("array<int>"), F.array().cast("array<int>")))
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,8 +44,6 @@ from .shingles import words_of
 
 #: Labelled texts that the classifier is fitted on at most.
 MAX_LABELLED = 50_000
-#: Tokens and beginnings that may get log-odds of their own at most.
-MAX_FEATURES = 20_000
 #: Pseudo-observations of the Dirichlet prior.
 PRIOR = 10.0
 #: Observations and standard deviations from which a token's own log-odds count.
@@ -329,7 +327,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
     odds = F.expr(f"ln((n1 + 0.5) / {classes[1] + 1.0}D) - ln((n0 + 0.5) / {classes[0] + 1.0}D)")
     chosen = counts.filter(F.col("n0") + F.col("n1") >= MIN_SEEN).withColumn("x", odds).withColumn("z", F.expr("x / sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))"))
     chosen = chosen.filter((F.col("z") >= MIN_Z) & (F.col("x") >= MIN_ODDS))
-    names = [r.feature for r in chosen.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).select("feature").collect()]
+    # significant words of MAX_LABELLED texts at most, however many documents there are
+    names = [r.feature for r in chosen.select("feature").orderBy("feature").collect()]
     shared = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
     found = rows.mapInArrow(_contexts(shared), "f int, y int, c long")
     words = {r.y: r.n for r in found.filter("f < 0").groupBy("y").agg(F.sum("c").alias("n")).collect()}

@@ -122,7 +122,6 @@ class Unigram:
             back.append(start)
             last.append(piece)
             if end >= look:
-                look = end + LOOK
                 alive = set(range(max(base, end - self.max_len + 1), end + 1))
                 while len(alive) > 1:
                     newest = max(alive)
@@ -134,6 +133,7 @@ class Unigram:
                     drop = meet - base
                     zero = best[drop]
                     best, back, last, base = [x - zero for x in best[drop:]], back[drop:], last[drop:], meet
+                look = end + max(LOOK, end - base)  # further on the longer none is found, so that all looks together take linear time
         yield self._path(text, back, last, base, len(text))
 
     def _path(self, text: str, back: list[int], last: list[int], base: int, end: int) -> list[int]:
