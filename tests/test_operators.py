@@ -68,6 +68,19 @@ def test_band_masks_the_choice_of_terms_but_not_the_scores(spark):
     assert [(r.doc_id, r.combined_sum, r["rank"]) for r in matrices.document_rank(m, 3).orderBy("rank").collect()] == [("a", 1.25, 1), ("b", 0.5, 2)]
 
 
+def test_collocations_of_runs(spark):
+    docs = spark.createDataFrame([("1", "a b the c d e the f"), ("2", "the x y")], "doc_id string, content string")
+    got = {(r.target, r.collocate): r.freq for r in explore.collocations(docs, ["the"], 3, 1, ngram=2).collect()}
+    assert got == {("the", "a b"): 1, ("the", "c d"): 2, ("the", "d e"): 2, ("the", "x y"): 1}
+
+
+def test_frequency_options(spark):
+    docs = spark.createDataFrame([("1", "The the THE. other"), ("2", "nothing")], "doc_id string, content string")
+    counts = [{r.doc_id: r["count"] for r in explore.document_frequency(docs, ["the"], **o).collect()} for o in ({}, {"case_sensitive": True}, {"regex": True}, {"regex": True, "case_sensitive": True})]
+    assert counts == [{"1": 4}, {"1": 2}, {"1": 4}, {"1": 2}]
+    assert {r["count"] for r in explore.document_frequency(docs, [r"\bth."], regex=True).collect()} == {3}
+
+
 def test_collocations_agree_with_a_position_join(corpus):
     rows = corpus.select("doc_id", F.posexplode(F.split("content", " ")).alias("i", "t"))
     a, b = rows.select("doc_id", F.col("i").alias("i1"), F.col("t").alias("target")), rows.select("doc_id", F.col("i").alias("i2"), F.col("t").alias("collocate"))
@@ -149,6 +162,14 @@ def test_vectors(spark):
     assert [(r.neighbour, r.similarity) for r in vectors.neighbours(v, ["a"], 2).orderBy("rank").collect()] == [("b", 0.707107), ("c", 0.0)]
     turned = v.select("word", F.array(-F.element_at("vector", 2), F.element_at("vector", 1)).alias("vector"))
     assert max(abs(r.drift) for r in vectors.drift(v, turned).collect()) < 1e-6
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 12, 3)) * rng.uniform(0.1, 9, (2, 12, 1))  # norms differ: raw vectors are rotated
+    models = [spark.createDataFrame([(f"w{i}", x.tolist()) for i, x in enumerate(m)], "word string, vector array<double>").repartition(3) for m in (a, b)]
+    u, _, vt = np.linalg.svd(a.T @ b)
+    turned_a = a @ u @ vt
+    want = {f"w{i}": 1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y) for i, (x, y) in enumerate(zip(turned_a, b, strict=True))}
+    got = {r.word: r.drift for r in vectors.drift(*models).collect()}
+    assert got.keys() == want.keys() and all(abs(got[w] - x) < 1e-5 for w, x in want.items())
     pairs = spark.createDataFrame([("a", "b", 3.0), ("a", "c", 2.0), ("a", "d", 1.0), ("a", "zz", 9.0)], "w1 string, w2 string, score double")
     assert tuple(vectors.rank_correlation(v, pairs).first()) == (3, 1.0)
 

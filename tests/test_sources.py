@@ -14,6 +14,13 @@ def test_delimiters(sep):
     assert tables.detect_delimiter("\n".join(sep.join(r) for r in rows)) == sep
 
 
+def test_delimiter_of_odd_samples():
+    assert tables.detect_delimiter('id;text\n1;"a, b, c"\n2;"d, e;\nf, g"\n') == ";"
+    assert tables.detect_delimiter("id,text") == ","  # one record only: csv's own guess
+    assert tables.detect_delimiter("") == ";" and tables.detect_delimiter("word\nword\n") == ";"
+    assert tables.detect_delimiter("a;b,c\nd;e,f\n") == ";"  # equals go by the order in which they are tried
+
+
 def test_csv_with_line_feeds(spark, tmp_path):
     path = tmp_path / "k.csv"
     path.write_text('﻿ id ;content\n1;"zwei\nZeilen; hier"\n2;"ein ""Wort"""\n', encoding="utf-8")

@@ -81,9 +81,10 @@ def surname(name: Column) -> Column:
 
 
 def forename(name: Column) -> Column:
+    """All after the first comma, else all but the last word."""
     name = normalize_ws(name)
     rest = F.split(name, " ")
-    return F.when(F.contains(name, F.lit(",")), F.trim(F.element_at(F.split(name, ","), 2))).otherwise(F.array_join(F.slice(rest, 1, F.size(rest) - 1), " "))
+    return F.when(F.contains(name, F.lit(",")), F.trim(F.regexp_extract(name, "^[^,]*,(.*)$", 1))).otherwise(F.array_join(F.slice(rest, 1, F.size(rest) - 1), " "))
 
 
 #: Particles that don't count as forenames, and what stands for an unknown author.
@@ -92,12 +93,14 @@ NO_AUTHOR = ["anonymous", "anonym", "anonyme", "nn", "n.n.", "unbekannt", "unkno
 
 
 def strip_particles(name: Column) -> Column:
-    return F.array_join(F.filter(F.split(normalize_ws(name), " "), lambda x: ~F.lower(x).isin(PARTICLES)), " ")
+    """The words that aren't particles, with or without a full stop."""
+    return F.array_join(F.filter(F.split(normalize_ws(name), " "), lambda x: ~F.regexp_replace(F.lower(x), r"^\.+|\.+$", "").isin(PARTICLES)), " ")
 
 
 def is_author(name: Column) -> Column:
-    plain = F.lower(normalize_ws(F.coalesce(name, F.lit(""))))
-    return (plain != "") & ~plain.isin(NO_AUTHOR)
+    """Whether the name, without outer full stops, is one of a person."""
+    plain = F.regexp_replace(F.lower(normalize_ws(F.coalesce(name, F.lit("")))), r"^\.+|\.+$", "")
+    return (plain != "") & ~plain.isin(NO_AUTHOR) & (plain != "n.n") & ~F.startswith(plain, F.lit("anonym"))
 
 
 def _year(text: Column, pattern: str) -> Column:
@@ -154,9 +157,11 @@ def natural_key(name: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Runs of n tokens joined by blanks."""
-    count = F.size(words) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens joined by blanks: the array zipped with its own shifts, so that `words` is computed n times, not once per run."""
+    out = words
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(words, k, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_compact(out)
 
 
 def quote(term: str) -> str:
@@ -173,6 +178,7 @@ def kwic(text: Column, term: str, context: int, whole_word: bool = False, ignore
     return F.transform(hits, lambda h: F.struct(*[F.regexp_extract(h, pattern, g).alias(n) for g, n in ((1, "left"), (2, "match"), (3, "right"))]))
 
 
-def contains_words(text: Column, terms: list[str]) -> Column:
-    """Number of non-overlapping hits of any of the terms."""
-    return sum((F.regexp_count(F.coalesce(text, F.lit("")), F.lit(quote(t))) for t in terms), F.lit(0)).cast("long")
+def contains_words(text: Column, terms: list[str], regex: bool = False, case_sensitive: bool = True) -> Column:
+    """Number of non-overlapping hits of each of the terms, added up."""
+    flags = "" if case_sensitive else "(?iu)"
+    return sum((F.regexp_count(F.coalesce(text, F.lit("")), F.lit(flags + (t if regex else quote(t)))) for t in terms), F.lit(0)).cast("long")

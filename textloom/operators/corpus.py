@@ -11,8 +11,8 @@ from ..functions import text as T
 ROLES = {
     "id": ["_id", "id", "doc_id", "document_id", "filename", "file_id", "index"],
     "content": ["content_stop", "content_lem", "content_min", "content_gen", "content", "text", "clean_text", "body", "fulltext"],
-    "year_first": ["date", "year_first", "jahr_first"],
-    "year": ["year", "jahr", "date", "datum"],
+    "year_first": ["date", "year_first", "jahr_first", "year"],
+    "year": ["year_final", "year", "jahr", "jahr_final", "date", "datum"],
 }
 CONTENT_STAGES = ["content", "content_min", "content_lem", "content_stop", "content_gen"]
 

@@ -15,9 +15,13 @@ def term_overview(counts: DataFrame, means: DataFrame) -> DataFrame:
     return counts.join(means, "term", "full").select("term", F.coalesce("n", F.lit(0)).alias("n"), "mean")
 
 
-def document_frequency(corpus: DataFrame, terms: list[str], scale: int = 10_000) -> DataFrame:
-    """(doc_id, count, length, density) of documents with a hit."""
-    rows = corpus.select("doc_id", T.contains_words(F.col("content"), terms).alias("count"), T.token_count(F.col("content"), T.WORD).alias("length"))
+def document_frequency(corpus: DataFrame, terms: list[str], scale: int = 10_000, regex: bool = False, case_sensitive: bool = False) -> DataFrame:
+    """(doc_id, count, length, density) of documents with a hit of any term, literal or a regular expression."""
+    terms = [t.strip() for t in terms if t.strip()]
+    if not terms:
+        raise ValueError("no terms")
+    hits = T.contains_words(F.col("content"), terms, regex, case_sensitive)
+    rows = corpus.select("doc_id", hits.alias("count"), T.token_count(F.col("content"), T.WORD).alias("length"))
     return rows.filter("count > 0").withColumn("density", F.when(F.col("length") > 0, F.round(F.col("count") / F.col("length") * scale, 2)).otherwise(0.0))
 
 
@@ -43,23 +47,26 @@ def hits_by(hits: DataFrame, author: str) -> DataFrame:
     return hits.withColumn("author_hits", F.count("*").over(Window.partitionBy(author)))
 
 
-def windows(corpus: DataFrame, targets: list[str], window: int, *keep: str) -> DataFrame:
-    """One row per token within `window` tokens of a target in the same document: kept columns, target, collocate."""
+def windows(corpus: DataFrame, targets: list[str], window: int, *keep: str, ngram: int = 1) -> DataFrame:
+    """One row per token (or run of `ngram` tokens that doesn't cross the target) within `window` tokens of a target in the same document: kept columns, target, collocate."""
     ts = corpus.select("doc_id", *keep, T.tokens(F.col("content")).alias("ts"))
     ts = ts.filter(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in targets])))
     at = ts.select("doc_id", *keep, "ts", F.explode(F.filter(F.sequence(F.lit(1), F.size("ts")), lambda i: F.element_at("ts", i).isin(targets))).alias("i"))
     low = F.greatest(F.col("i") - window, F.lit(1))
-    near = F.concat(F.slice("ts", low, F.col("i") - low), F.slice("ts", F.col("i") + 1, window))
+    sides = F.slice("ts", low, F.col("i") - low), F.slice("ts", F.col("i") + 1, window)
+    near = F.concat(*(sides if ngram == 1 else [T.ngrams(x, ngram) for x in sides]))
     return at.select("doc_id", *keep, F.element_at("ts", F.col("i")).alias("target"), F.explode(near).alias("collocate"))
 
 
-def collocations(corpus: DataFrame, targets: list[str], window: int = 5, min_freq: int = 3, top: int = 100, measure: str = "freq") -> DataFrame:
-    """(target, collocate, freq, score): score is the frequency or the pointwise mutual information over all tokens."""
-    pairs = windows(corpus, targets, window).groupBy("target", "collocate").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_freq)
+def collocations(corpus: DataFrame, targets: list[str], window: int = 5, min_freq: int = 3, top: int = 100, measure: str = "freq", ngram: int = 1) -> DataFrame:
+    """(target, collocate, freq, score): score is the frequency or the pointwise mutual information over all tokens (or runs of `ngram` tokens)."""
+    pairs = windows(corpus, targets, window, ngram=ngram).groupBy("target", "collocate").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_freq)
     if measure == "pmi":
-        counts = corpus.select(F.explode(T.tokens(F.col("content"))).alias("collocate")).groupBy("collocate").agg(F.count("*").alias("n"))
+        ts = T.tokens(F.col("content"))
+        counts = corpus.select(F.explode(ts if ngram == 1 else T.ngrams(ts, ngram)).alias("collocate")).groupBy("collocate").agg(F.count("*").alias("n"))
         total = counts.agg(F.sum("n").alias("total"))
-        of_target = counts.filter(F.col("collocate").isin(targets)).select(F.col("collocate").alias("target"), F.col("n").alias("n_target"))
+        words = corpus.select(F.explode(F.filter(ts, lambda t: t.isin(targets))).alias("target"))
+        of_target = words.groupBy("target").agg(F.count("*").alias("n_target"))  # a row per target
         known = pairs.join(counts, "collocate").join(F.broadcast(of_target), "target").crossJoin(F.broadcast(total))
         joint, apart = F.col("freq") / F.col("total"), F.col("n") / F.col("total") * F.col("n_target") / F.col("total")
         score = F.log2(F.greatest(joint, F.lit(EPSILON)) / F.greatest(apart, F.lit(EPSILON)))

@@ -99,35 +99,42 @@ def text_ranks(doc_topic: DataFrame, n: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= n).select("topic", "doc_id", "weight", "rank")
 
 
-def fuzzy_match(texts: DataFrame, meta: DataFrame, n_prefix: int = 20, n_short: int = 15) -> DataFrame:
-    """(text, doc_id, strategy): the metadata row of a free text by the first strategy that finds one.
-
-    1: the text is the id. 2: it contains author, the first n_prefix characters of the title,
-    and the year. 3: it contains two of author, the first n_short characters of the title,
-    and the year. 4: the numbers of the ids are equal without leading zeros. Of several rows
-    the one with the least id is taken. Strategies 1 and 4 are equi-joins; for 2 and 3 the
-    candidates are the rows whose author or year is a word of the text.
-    meta: doc_id, author, title, year.
-    """
-    texts = texts.select("text").distinct()
-    plain = F.lower(F.col("text"))
-    words = texts.select("text", F.explode(F.array_distinct(T.tokens(F.col("text"), lowercase=True))).alias("w"))
-    signals = F.explode(F.array_distinct(F.array_compact(F.array(F.element_at(T.tokens(F.col("author"), lowercase=True), 1), F.col("year").cast("string"))))).alias("w")
-    near = words.join(meta.select("*", signals), "w").drop("w").distinct()
-    has_author = F.coalesce((F.col("author") != "") & F.contains(plain, F.lower("author")), F.lit(False))
-    has_year = F.coalesce(F.contains(plain, F.col("year").cast("string")), F.lit(False))
+#: The columns that a free text may be made of.
+TEXT_FIELDS = ["author_surname", "title", "source", "author"]
 
-    def has_title(n: int) -> Column:
-        return F.coalesce((F.col("title") != "") & F.contains(plain, F.lower(F.substring("title", 1, n))), F.lit(False))
 
-    second = near.filter(has_author & has_year & has_title(n_prefix)).select("text", "doc_id", F.lit(2).alias("strategy"))
-    third = near.filter(has_author.cast("int") + has_year.cast("int") + has_title(n_short).cast("int") >= 2).select("text", "doc_id", F.lit(3).alias("strategy"))
-    first = texts.join(meta, F.trim("text") == F.col("doc_id")).select("text", "doc_id", F.lit(1).alias("strategy"))
+def fuzzy_match(texts: DataFrame, meta: DataFrame, n_prefix: int = 20, n_short: int = 15) -> DataFrame:
+    """(text, doc_id, strategy): the metadata row of a free text by the first strategy that finds one, whatever the case.
+
+    1: the text is the id. 2: it contains the first n_prefix characters of every field, and
+    the year if there is one. 3: it contains two of the first n_short characters of the fields
+    and the year. 4: the numbers of the ids are equal without leading zeros. Fields are those
+    of TEXT_FIELDS that meta has, values of fewer than three characters don't count; of
+    several rows the one with the least id is taken. All are equi-joins: a row found by 2 or 3
+    has a field whose short beginning is one of the text's own substrings of that length.
+    meta: doc_id, year and the fields.
+    """
+    fields = [c for c in TEXT_FIELDS if c in meta.columns]
+    texts = texts.select("text", F.lower(F.trim("text")).alias("t")).filter("t <> '' and t <> 'nan'").distinct()
+    values = F.filter(F.array(*[F.lower(F.trim(F.col(c))) for c in fields]).cast("array<string>"), lambda v: F.length(v) >= 3)
+    rows = meta.select("doc_id", F.lower(F.trim("doc_id")).alias("id"), F.coalesce(F.col("year").cast("int").cast("string"), F.lit("")).alias("year"), values.alias("values"))
+
+    def beginnings(n: int) -> Column:
+        return F.transform("values", lambda v: F.substring(v, 1, n))
+
+    size = F.length("t")
+    parts = F.flatten(F.transform(F.sequence(F.lit(3), F.lit(n_short)), lambda n: F.when(n <= size, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("t"), i, n))).otherwise(F.array().cast("array<string>"))))
+    keyed = rows.select("*", F.explode(F.array_distinct(beginnings(n_short))).alias("k"))
+    near = texts.select("text", "t", F.explode(F.array_distinct(parts)).alias("k")).join(keyed, "k").drop("k").dropDuplicates(["text", "doc_id"])
+    has_year = (F.col("year") != "") & F.contains("t", "year")
+    second = F.forall(beginnings(n_prefix), lambda v: F.contains(F.col("t"), v)) & ((F.col("year") == "") | has_year)
+    third = F.size(F.filter(beginnings(n_short), lambda v: F.contains(F.col("t"), v))) + has_year.cast("int") >= 2
+    found = near.select("text", "doc_id", F.when(second, 2).when(third, 3).alias("strategy")).filter("strategy is not null")
 
     def number(c: str) -> Column:
-        return F.nullif(F.regexp_replace(T.document_stem(F.col(c)), r"^0+", ""), F.lit(""))
+        return F.regexp_replace(T.document_stem(F.col(c)), "^0+", "")
 
-    fourth = texts.join(meta, number("text") == number("doc_id")).select("text", "doc_id", F.lit(4).alias("strategy"))
+    first = texts.join(rows, F.col("t") == F.col("id")).select("text", "doc_id", F.lit(1).alias("strategy"))
+    fourth = texts.join(rows, number("t") == number("id")).select("text", "doc_id", F.lit(4).alias("strategy"))
     turn = Window.partitionBy("text").orderBy("strategy", "doc_id")
-    every = first.union(second).union(third).union(fourth)
-    return every.withColumn("r", F.row_number().over(turn)).filter("r = 1").drop("r")
+    return first.unionByName(found).unionByName(fourth).withColumn("r", F.row_number().over(turn)).filter("r = 1").drop("r")

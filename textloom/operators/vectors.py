@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,16 +76,20 @@ def rank_correlation(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def rotation(model_a: DataFrame, model_b: DataFrame) -> np.ndarray:
-    """The orthogonal matrix that takes model_a closest to model_b on their shared words: a k x k sum over the words, then one SVD here."""
-    unit = [with_norm(m).select("word", F.transform("vector", lambda x: x / (F.col("norm") + EPSILON)).alias(n)) for m, n in ((model_a, "a"), (model_b, "b"))]
-    both = unit[0].join(unit[1], "word")
-    cells = both.select(F.posexplode("a").alias("i", "x"), "b").select("i", "x", F.posexplode("b").alias("j", "y"))
-    rows = cells.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()  # k x k numbers
-    size = 1 + max((max(r.i, r.j) for r in rows), default=-1)
-    m = np.zeros((size, size))
-    for r in rows:
-        m[r.i, r.j] = r.s
-    u, _, vt = np.linalg.svd(m)
+    """The orthogonal matrix that takes model_a closest to model_b on their shared words: a product of k x k summed over the words, then one SVD here."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            a, b = (np.array(batch.column(i).to_pylist(), float).reshape(batch.num_rows, -1) for i in (0, 1))
+            total = a.T @ b if total is None else total + a.T @ b
+        if total is not None and total.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["cell", "s"])
+
+    both = model_a.select("word", F.col("vector").alias("a")).join(model_b.select("word", F.col("vector").alias("b")), "word").select("a", "b")
+    rows = both.mapInArrow(products, "cell int, s double").groupBy("cell").agg(F.sum("s").alias("s")).orderBy("cell").collect()  # k x k numbers
+    size = round(len(rows) ** 0.5)
+    u, _, vt = np.linalg.svd(np.array([r.s for r in rows]).reshape(size, size))
     return u @ vt
 
 

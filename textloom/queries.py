@@ -139,7 +139,7 @@ def _files(spark, sf):
     return C.merge_texts(texts, meta)
 
 
-FILES = "texts AS (SELECT 'd' || doc_id || '.txt' AS file_name, text, 'd' || doc_id AS id FROM documents WHERE doc_id % 5 <> 0), meta AS (SELECT 'd' || doc_id AS id, lang FROM documents WHERE doc_id % 3 <> 0)"
+FILES = "texts AS (SELECT 'd' || doc_id || '.txt' AS file_name, text, 'd' || doc_id AS id FROM documents), meta AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE 'd' END || doc_id AS id, lang FROM documents)"
 
 
 @query("txt_metadata_merge", f"WITH {FILES} SELECT file_name, texts.id, lang FROM texts LEFT JOIN meta USING (id)")
@@ -246,7 +246,7 @@ def interval_cosine(spark, sf):
 # --- exploration ------------------------------------------------------------------------
 
 
-@query("term_overview", f"WITH {TFIDF}, {SUMS}, n AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, {W})) AS term FROM corpus WHERE year < 1850) GROUP BY term), m AS (SELECT term, round(total / (SELECT count(*) FROM full_corpus), 6) AS mean FROM sums) SELECT coalesce(n.term, m.term) AS term, coalesce(n, 0) AS n, mean FROM n FULL JOIN m ON n.term = m.term")
+@query("term_overview", f"WITH {TFIDF}, {SUMS}, n AS (SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(content, {W})) AS term FROM corpus) GROUP BY term), m AS (SELECT term, round(total / (SELECT count(*) FROM full_corpus), 6) AS mean FROM sums) SELECT coalesce(n.term, m.term) AS term, coalesce(n, 0) AS n, mean FROM n FULL JOIN m ON n.term = m.term")
 def term_overview(spark, sf):
     corpus = A.corpus(spark, sf)
     n = matrices.nonempty(corpus).agg(F.count("*").alias("n"))
@@ -254,11 +254,25 @@ def term_overview(spark, sf):
     return explore.term_overview(matrices.term_counts(corpus), means)
 
 
-@query("document_frequency", rf"WITH {CORPUS}, c AS (SELECT doc_id, len(regexp_extract_all(content, 'the')) + len(regexp_extract_all(content, 'de')) + len(regexp_extract_all(content, 'and')) AS count, len(regexp_extract_all(content, {W})) AS length FROM corpus) SELECT *, CASE WHEN length > 0 THEN round(count / length * 10000, 2) ELSE 0 END AS density FROM c WHERE count > 0")
+def _frequency_sql(counts: list[str]) -> str:
+    return rf"WITH {CORPUS}, c AS (SELECT doc_id, {' + '.join(counts)} AS count, len(regexp_extract_all(content, {W})) AS length FROM corpus) SELECT *, CASE WHEN length > 0 THEN round(count / length * 10000, 2) ELSE 0 END AS density FROM c WHERE count > 0"
+
+
+@query("document_frequency", _frequency_sql([f"len(regexp_extract_all(content, '(?i){t}'))" for t in TERMS]))
 def document_frequency(spark, sf):
     return explore.document_frequency(A.corpus(spark, sf), TERMS)
 
 
+@query("document_frequency_case", _frequency_sql([f"len(regexp_extract_all(content, '{t}'))" for t in TERMS]))
+def document_frequency_case(spark, sf):
+    return explore.document_frequency(A.corpus(spark, sf), TERMS, case_sensitive=True)
+
+
+@query("document_frequency_regex", _frequency_sql([f"len(regexp_extract_all(content, '(?i){t}'))" for t in ("th[ae]", "un?d[.]?")]))
+def document_frequency_regex(spark, sf):
+    return explore.document_frequency(A.corpus(spark, sf), ["th[ae]", "un?d[.]?"], regex=True)
+
+
 _KWIC = f"""{CORPUS}, hits AS (SELECT doc_id, genre, unnest(range(1, len(m) + 1))::INT AS hit, unnest(l) AS "left", unnest(m) AS "match", unnest(r) AS "right" FROM
  (SELECT doc_id, genre, regexp_extract_all(content, '(.{{0,20}})(the)(.{{0,20}})', 1) AS l, regexp_extract_all(content, '(.{{0,20}})(the)(.{{0,20}})', 2) AS m, regexp_extract_all(content, '(.{{0,20}})(the)(.{{0,20}})', 3) AS r FROM corpus))"""
 
@@ -296,6 +310,18 @@ def collocations_pmi(spark, sf):
     return explore.collocations(A.corpus(spark, sf), ["the", "de"], measure="pmi")
 
 
+_NEAR2 = f"""{CORPUS}, ts AS (SELECT doc_id, regexp_extract_all(content, {W}) AS ts FROM corpus),
+singles AS (SELECT doc_id, unnest(range(1, len(ts) + 1)) AS i, unnest(ts) AS term FROM ts),
+places AS (SELECT doc_id, unnest(range(1, len(ts))) AS i, unnest(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1])) AS term FROM ts),
+near AS (SELECT a.doc_id, a.term AS target, b.term AS collocate FROM singles a JOIN places b ON a.doc_id = b.doc_id AND (b.i BETWEEN a.i - 5 AND a.i - 2 OR b.i BETWEEN a.i + 1 AND a.i + 4) WHERE a.term IN ('the', 'de')),
+pairs AS (SELECT target, collocate, count(*) AS freq FROM near GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+@query("collocations_bigram_pmi", f"WITH {_NEAR2}, c AS (SELECT term, count(*) AS n FROM places GROUP BY term), ct AS (SELECT term, count(*) AS n FROM singles GROUP BY term), t AS (SELECT count(*) AS total FROM places), scored AS (SELECT target, collocate, freq, round(log2(greatest(freq / total, 1e-12) / greatest(c.n / total * ct.n / total, 1e-12)), 6) AS score FROM pairs JOIN c ON c.term = collocate JOIN ct ON ct.term = target, t) {_TOP}")
+def collocations_bigram_pmi(spark, sf):
+    return explore.collocations(A.corpus(spark, sf), ["the", "de"], measure="pmi", ngram=2)
+
+
 @query("collocation_documents", f"WITH {_NEAR} SELECT doc_id, count(*) AS count FROM near WHERE target = 'the' AND collocate = 'of' GROUP BY doc_id")
 def collocation_documents(spark, sf):
     return explore.collocation_documents(A.corpus(spark, sf), "the", "of")
@@ -563,12 +589,13 @@ def texts_rank(spark, sf):
 
 @query(
     "fuzzy_text_match",
-    r"""WITH meta AS (SELECT 'id_' || lpad(p_partkey::VARCHAR, 5, '0') AS doc_id, split_part(p_name, ' ', 1) AS author, p_type AS title, (1800 + p_size)::INT AS year FROM part),
-texts AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'id_' || lpad(p_partkey::VARCHAR, 5, '0') WHEN 1 THEN split_part(p_name, ' ', 1) || ': ' || p_type || '. ' || (1800 + p_size) || '.' WHEN 2 THEN split_part(p_name, ' ', 1) || ' - ' || (1800 + p_size) || '.' ELSE 'text_' || p_partkey END AS text FROM part WHERE p_partkey % 7 = 0),
-s AS (SELECT text, doc_id, CASE WHEN trim(text) = doc_id THEN 1
- WHEN author <> '' AND contains(lower(text), lower(author)) AND contains(lower(text), year::VARCHAR) AND title <> '' AND contains(lower(text), lower(substr(title, 1, 20))) THEN 2
- WHEN (author <> '' AND contains(lower(text), lower(author)))::INT + contains(lower(text), year::VARCHAR)::INT + (title <> '' AND contains(lower(text), lower(substr(title, 1, 15))))::INT >= 2 THEN 3
- WHEN regexp_replace(regexp_replace(text, '^(doc|text|id)_', ''), '^0+', '') = regexp_replace(regexp_replace(doc_id, '^(doc|text|id)_', ''), '^0+', '') THEN 4 END AS strategy FROM texts, meta)
+    r"""WITH meta AS (SELECT 'id_' || lpad(p_partkey::VARCHAR, 5, '0') AS doc_id, split_part(p_name, ' ', 1) AS author, p_type AS title, (1800 + p_size)::VARCHAR AS year FROM part),
+texts AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'id_' || lpad(p_partkey::VARCHAR, 5, '0') WHEN 1 THEN split_part(p_name, ' ', 1) || ': ' || p_type || '. ' || (1800 + p_size) || '.' WHEN 2 THEN split_part(p_name, ' ', 1) || ' - ' || (1800 + p_size) || '.' ELSE 'text_' || p_partkey END AS text FROM part),
+rows AS (SELECT doc_id, lower(author) AS author, lower(title) AS title, year FROM meta),
+s AS (SELECT text, doc_id, CASE WHEN lower(text) = lower(doc_id) THEN 1
+ WHEN len(author) >= 3 AND len(title) >= 3 AND contains(lower(text), substr(author, 1, 20)) AND contains(lower(text), substr(title, 1, 20)) AND contains(text, year) THEN 2
+ WHEN (len(author) >= 3 AND contains(lower(text), substr(author, 1, 15)))::INT + (len(title) >= 3 AND contains(lower(text), substr(title, 1, 15)))::INT + contains(text, year)::INT >= 2 THEN 3
+ WHEN ltrim(regexp_replace(lower(text), '^(doc|text|id)_', ''), '0') = ltrim(regexp_replace(lower(doc_id), '^(doc|text|id)_', ''), '0') THEN 4 END AS strategy FROM texts, rows)
 SELECT text, doc_id, strategy FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY strategy, doc_id) AS r FROM s WHERE strategy IS NOT NULL) WHERE r = 1""",
 )
 def fuzzy_text_match(spark, sf):
