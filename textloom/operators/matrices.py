@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
+from ..sources.kept import kept
 
 #: Value band of the rank's term selection.
 BAND = (0.0, 0.9)
@@ -212,14 +213,15 @@ def cosine_pairs(matrix: DataFrame, min_cos: float, by: list[str] = (), exclude:
     cells = matrix.filter(~F.lower("term").isin([e.lower() for e in exclude])) if exclude else matrix
     if exclude:  # rows without the excluded terms get length 1 again
         cells = cells.withColumn("tfidf", F.col("tfidf") / F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf")).over(Window.partitionBy(*by, "doc_id"))))
+    cells = kept(cells)
     terms = cells.select("term").distinct().withColumn("i", F.row_number().over(Window.orderBy("term")))
     rows = cells.join(terms, "term").groupBy(*by, "doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "tfidf"))).alias("c")).select(*by, "doc_id", F.col("c.i").alias("idx"), F.col("c.tfidf").alias("val"))
-    sized = rows.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = cells.groupBy(*by, "doc_id").agg(F.lit(1)).groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = rows.join(F.broadcast(sized), by) if by else rows.crossJoin(F.broadcast(sized))  # one row, or one per interval
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).drop("blocks")
     names = [T_.StructField(c, matrix.schema[c].dataType) for c in by]
     packed_type = T_.StructType([*names, T_.StructField("block", T_.IntegerType()), T_.StructField("ids", T_.ArrayType(T_.StringType())), *[T_.StructField(c, T_.BinaryType()) for c in ("sizes", "idx", "val")]])
-    packed = dealt.groupBy(*by, "block").applyInArrow(_pack_rows(to_arrow_schema(packed_type)), packed_type)
+    packed = kept(dealt.groupBy(*by, "block").applyInArrow(_pack_rows(to_arrow_schema(packed_type)), packed_type))
     side = {x: packed.select(*by, F.col("block").alias(n), *[F.col(c).alias(f"{c}_{x}") for c in ("ids", "sizes", "idx", "val")]) for x, n in (("a", "i"), ("b", "j"))}
     grid = sized.select(*by, "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select(*by, "i", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
     both = grid.join(side["a"], [*by, "i"]).join(side["b"], [*by, "j"])
@@ -231,8 +233,3 @@ def cosine_all(matrix: DataFrame) -> DataFrame:
     """(doc_a, doc_b, cosine) of all pairs that share a term, by a self-join on terms; for small corpora."""
     a, b = matrix.select(F.col("doc_id").alias("doc_a"), "term", F.col("tfidf").alias("x")), matrix.select(F.col("doc_id").alias("doc_b"), "term", F.col("tfidf").alias("y"))
     return a.join(b, "term").filter("doc_a <= doc_b").groupBy("doc_a", "doc_b").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("cosine"))
-
-
-def coalesced_year(first: Column, main: Column) -> Column:
-    """Year of the first list, else of the main one; what is no number is unknown."""
-    return F.coalesce(first.try_cast("double"), main.try_cast("double"))
