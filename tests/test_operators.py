@@ -174,6 +174,19 @@ def test_vectors(spark):
     assert tuple(vectors.rank_correlation(v, pairs).first()) == (3, 1.0)
 
 
+def test_p_values(spark):
+    # closed forms of Student's t distribution: 8 degrees of freedom, and 2, where p = 1 - |rho|
+    for rho in (0.5, -0.8):
+        c = 1 - rho * rho
+        assert abs(vectors.p_value(10, rho) - (1 - abs(rho) * (1 + c / 2 + 3 * c**2 / 8 + 15 * c**3 / 48))) < 1e-12
+    assert abs(vectors.p_value(4, 0.6) - 0.4) < 1e-12 and vectors.p_value(3, 1.0) == 0
+    assert abs(vectors.p_value(3, 0.5) - 2 / 3) < 1e-12 and abs(vectors.p_value(5000, 0.0) - 1) < 1e-12
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", [0.0, 1.0]), ("d", [-1.0, 0.0])], "word string, vector array<double>")
+    pairs = spark.createDataFrame([("a", "b", 3.0), ("a", "c", 2.0), ("a", "d", 1.0)], "w1 string, w2 string, score double")
+    assert tuple(vectors.rank_test(v, pairs).first()) == (3, 1.0, 0.0)
+    assert vectors.rank_test(v, pairs.limit(1)).first().p is None
+
+
 def test_metrics(spark):
     tw = spark.createDataFrame([("t", 1, "x"), ("t", 2, "y"), ("u", 1, "x"), ("u", 2, "z")], "topic string, pos int, word string")
     docs = spark.createDataFrame([("1", "x"), ("1", "y"), ("2", "z"), ("3", "q")], "doc_id string, term string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,39 @@ def rank_correlation(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     return known.agg(F.count("*").alias("n"), F.round(F.corr("r_score", "r_cos"), 6).alias("rho"))
 
 
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction in Lentz's form."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
+    value, c, d = 1.0, 1.0, 0.0
+    for step in range(400):
+        k = step // 2
+        term = 1.0 if not step else k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)) if step % 2 == 0 else -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        d = 1 / ((1 + term * d) or 1e-300)
+        c = (1 + term / c) or 1e-300
+        value *= c * d
+        if step and abs(c * d - 1) < 1e-13:
+            break
+    return front * (value - 1)
+
+
+def p_value(n: int, rho: float) -> float:
+    """Two-sided p-value of a rank correlation of n pairs under Student's t distribution with n - 2 degrees of freedom."""
+    if n < 3:
+        return float("nan")
+    free = n - 2
+    return _beta_share(free / 2, 0.5, 1 - rho * rho)
+
+
+def rank_test(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row (n, rho, p): `rank_correlation` and its p-value; null where there are fewer than two pairs, or for p three."""
+    found = F.udf(lambda n, rho: None if rho is None or n < 3 else p_value(n, rho), "double")  # one row
+    return rank_correlation(vectors, pairs).withColumn("p", found("n", "rho"))
+
+
 def rotation(model_a: DataFrame, model_b: DataFrame) -> np.ndarray:
     """The orthogonal matrix that takes model_a closest to model_b on their shared words: a product of k x k summed over the words, then one SVD here."""
 
