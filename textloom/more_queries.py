@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import explore, matrices, models, topics
 from .plans import adapters as A
-from .queries import CORPUS, DOC_TOPIC, query
+from .queries import CORPUS, DOC_TOPIC, TOK, query
 from .sources import markup, sinks, tables
 
 #: Rules of the query: literal, patterns, one that looks around, two that depend on their order.
@@ -70,7 +70,11 @@ def preprocess_stages(spark, sf):
     return preprocess(A.corpus(spark, sf), RULES, stop, []).select("doc_id", "content_min", "content_lem", "content_stop", "content_gen")
 
 
-@query("default_tagger")
+_FIRST = "substr(term, 1, 1)"
+_PROPER = f"(upper({_FIRST}) = {_FIRST} AND lower({_FIRST}) <> {_FIRST})"
+
+
+@query("default_tagger", rf"WITH {TOK}, t AS (SELECT CASE WHEN regexp_full_match(term, '[\p{{N}}_]+') THEN 'NUM' WHEN {_PROPER} THEN 'PROPN' WHEN length(term) <= 3 THEN 'DET' ELSE 'NOUN' END AS pos, CASE WHEN {_PROPER} THEN term ELSE lower(term) END AS lemma FROM tok) SELECT pos, count(*) AS n, count(DISTINCT lemma) AS lemmas FROM t GROUP BY pos")
 def default_tagger(spark, sf):
     rows = A.corpus(spark, sf).select("doc_id", F.explode(models.initial_tagger(T.tokens(F.col("content")))).alias("t"))
     return rows.groupBy("t.pos").agg(F.count("*").alias("n"), F.countDistinct("t.lemma").alias("lemmas"))
