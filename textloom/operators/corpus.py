@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.kept import numbered
 
 #: Candidate column names of each role, in the order in which they are tried.
 ROLES = {
@@ -39,7 +40,9 @@ def with_document_id(df: DataFrame, order: list[str]) -> DataFrame:
     name = find_column(df.columns, ROLES["id"])
     if name:
         return df.withColumn("doc_id", F.col(f"`{name}`").cast("string"))
-    return df.withColumn("doc_id", F.row_number().over(Window.orderBy(*order)).cast("string"))
+    # rows that are equal in the given columns go by their content, so that the order is a total one
+    out = numbered(df.withColumn("__tie", F.xxhash64(*df.columns)), "doc_id", *order, "__tie")
+    return out.withColumn("doc_id", F.col("doc_id").cast("string")).drop("__tie")
 
 
 def year_range(df: DataFrame) -> DataFrame:

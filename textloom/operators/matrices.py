@@ -16,7 +16,7 @@ from pyspark.sql import types as T_
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as T
-from ..sources.kept import kept
+from ..sources.kept import kept, numbered
 
 #: Value band of the rank's term selection.
 BAND = (0.0, 0.9)
@@ -65,6 +65,17 @@ def term_frequency(corpus: DataFrame, lowercase: bool = False, *keep: str) -> Da
     return token_rows(nonempty(corpus), T.WORD2, lowercase, *keep).groupBy("doc_id", *keep, "term").agg(F.count("*").alias("tf"))
 
 
+def only_terms(rows: DataFrame, terms: list[str], column: str = "term") -> DataFrame:
+    """The rows of the searched terms, outer blanks aside; every row if nothing is searched for."""
+    wanted = [t.strip() for t in terms if t.strip()]
+    return rows.filter(F.col(column).isin(wanted)) if wanted else rows
+
+
+def aligned(ids: DataFrame, meta: DataFrame) -> DataFrame:
+    """A row for each row of ids (doc_id, ...), in whatever order these have, with the columns of its document's metadata; nulls where there is none. meta: one row per doc_id."""
+    return ids.join(meta, "doc_id", "left")
+
+
 def _vocabulary(tf: DataFrame, top: int | None, min_count: int, by: list[str]) -> DataFrame:
     """(by..., term, cf, df) of the commonest terms, ties in the order of the terms."""
     counts = tf.groupBy(*by, "term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).filter(F.col("cf") >= min_count)
@@ -80,10 +91,19 @@ def vocabulary(corpus: DataFrame, top: int | None = None, min_count: int = 1) ->
     return _vocabulary(term_frequency(corpus), top, min_count, [])
 
 
-def dtm(corpus: DataFrame, top: int | None = None, min_count: int = 1) -> DataFrame:
+def _within(tf: DataFrame, n_docs: DataFrame, top: int | None, min_count: int, min_df: int, max_df: float) -> DataFrame:
+    """(term, cf, df): the commonest of the terms that stand in min_df documents or more, and in a share of max_df at most. n_docs: one row (n)."""
+    if min_df <= 1 and max_df >= 1:
+        return _vocabulary(tf, top, min_count, [])
+    known = _vocabulary(tf, None, min_count, []).crossJoin(F.broadcast(n_docs)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).drop("n")
+    return known.orderBy(F.desc("cf"), "term").limit(top) if top else known
+
+
+def dtm(corpus: DataFrame, top: int | None = None, min_count: int = 1, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """(doc_id, term, tf)."""
     tf = term_frequency(corpus)
-    return tf.join(_vocabulary(tf, top, min_count, []).select("term"), "term").select("doc_id", "term", "tf")
+    n_docs = nonempty(corpus).agg(F.count("*").alias("n"))
+    return tf.join(_within(tf, n_docs, top, min_count, min_df, max_df).select("term"), "term").select("doc_id", "term", "tf")
 
 
 def _weigh(tf: DataFrame, vocab: DataFrame, n_docs: DataFrame, by: list[str]) -> DataFrame:
@@ -98,11 +118,7 @@ def tfidf(corpus: DataFrame, top: int | None = None, lowercase: bool = False, mi
     """(doc_id, term, tfidf): smooth idf, rows of length 1."""
     tf = term_frequency(corpus, lowercase)
     n_docs = nonempty(corpus).agg(F.count("*").alias("n"))
-    vocab = _vocabulary(tf, None if (min_df > 1 or max_df < 1) else top, 1, [])
-    if min_df > 1 or max_df < 1:
-        vocab = vocab.crossJoin(F.broadcast(n_docs)).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).drop("n")
-        vocab = vocab.orderBy(F.desc("cf"), "term").limit(top) if top else vocab
-    return _weigh(tf, vocab, n_docs, [])
+    return _weigh(tf, _within(tf, n_docs, top, 1, min_df, max_df), n_docs, [])
 
 
 def in_intervals(corpus: DataFrame, intervals: list[tuple[int, int]]) -> DataFrame:
@@ -139,7 +155,7 @@ def document_rank(matrix: DataFrame, top: int) -> DataFrame:
     """(doc_id, combined_sum, rank): documents by the sum of all their values of the selected terms, in or out of the band."""
     chosen = matrix.join(selected_terms(matrix, top).select("term"), "term")
     sums = chosen.groupBy("doc_id").agg(F.round(F.sum("tfidf"), 6).alias("combined_sum"))
-    return sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("combined_sum"), "doc_id")))
+    return numbered(sums, "rank", F.desc("combined_sum"), F.asc("doc_id")).withColumn("rank", F.col("rank").cast("int"))
 
 
 def term_matrix(matrix: DataFrame, top: int) -> DataFrame:

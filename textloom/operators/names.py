@@ -44,10 +44,10 @@ def proper_candidates(pos_list: DataFrame) -> DataFrame:
     return pos_list.filter("pos = 'PROPN'").groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word")
 
 
-def stripped(corpus: DataFrame, names: DataFrame) -> DataFrame:
-    """The corpus without the names (term), case-sensitive. The names of each document only are sent to it, so the list may be of any size."""
-    ts = F.filter(F.split(F.coalesce("content", F.lit("")), r"\s+"), lambda x: x != "")
+def stripped(corpus: DataFrame, names: DataFrame, columns: tuple[str, ...] = ("content",)) -> DataFrame:
+    """The corpus without the names (term) in the given columns, case-sensitive. The names of each document only are sent to it, so the list may be of any size."""
+    ts = F.filter(F.split(F.concat_ws(" ", *columns), r"\s+"), lambda x: x != "")
     words = corpus.select("doc_id", F.explode(F.array_distinct(ts)).alias("term"))
     hit = words.join(names.select("term").distinct(), "term").groupBy("doc_id").agg(F.collect_set("term").alias("__names"))
     none: Column = F.array().cast("array<string>")
-    return corpus.join(hit, "doc_id", "left").withColumn("content", T.strip_names(F.col("content"), F.coalesce("__names", none))).drop("__names")
+    return corpus.join(hit, "doc_id", "left").withColumns({c: T.strip_names(F.col(c), F.coalesce("__names", none)) for c in columns}).drop("__names")

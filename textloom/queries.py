@@ -204,6 +204,17 @@ def tfidf_avg_rank(spark, sf):
     return _rounded(matrices.term_means(_matrix(spark, sf), n), "mean")
 
 
+@query("term_search", f"WITH {TFIDF}, {SUMS} SELECT term, round(total, 6) AS total FROM sums WHERE term IN ({', '.join(repr(t) for t in TERMS)})")
+def term_search(spark, sf):
+    return _rounded(matrices.only_terms(matrices.term_sums(_matrix(spark, sf)), [f" {t} " for t in TERMS]), "total")
+
+
+@query("metadata_aligned", f"WITH {CORPUS}, {DOC_TOPIC}, ids AS (SELECT DISTINCT doc_id FROM doc_topic) SELECT ids.doc_id, genre, textclass, year FROM ids LEFT JOIN corpus USING (doc_id)")
+def metadata_aligned(spark, sf):
+    ids = A.doc_topic(spark, sf).select("doc_id").distinct()
+    return matrices.aligned(ids, C.metadata(A.corpus(spark, sf)))
+
+
 @query("tfidf_sums", f"WITH {TFIDF}, {SUMS} SELECT term, round(total, 6) AS total FROM sums")
 def tfidf_sums(spark, sf):
     return _rounded(matrices.term_sums(_matrix(spark, sf)), "total")
@@ -688,6 +699,14 @@ def tag_topic_bubbles(spark, sf):
     return dtti.tag_topic_grid(A.topic_word(spark, sf), A.termset(spark, sf), matrices.term_means(A.tfidf2000(spark, sf), n))
 
 
+_GRID = f"{DTTI}, m AS (SELECT term, round(total / (SELECT count(*) FROM full_corpus), 9) AS mean FROM sums), v AS (SELECT tag, topic, sum(mean) AS v FROM topic_word JOIN termset USING (word) JOIN m ON term = word GROUP BY ALL), grid AS (SELECT a.tag, b.topic, round(coalesce(v, 0), 6) AS value FROM (SELECT DISTINCT tag FROM termset) a CROSS JOIN (SELECT DISTINCT topic FROM topic_word) b LEFT JOIN v ON v.tag = a.tag AND v.topic = b.topic)"
+
+
+@query("bubble_sizes", f"{_GRID} SELECT tag, topic, value, round(CASE WHEN value = 0 THEN 15 WHEN (SELECT max(value) > min(value) FROM grid) THEN 50 + (value - (SELECT min(value) FROM grid)) / (SELECT max(value) - min(value) FROM grid) * 1950 ELSE 50 END, 6) AS size FROM grid")
+def bubble_sizes(spark, sf):
+    return dtti.bubble_sizes(tag_topic_bubbles(spark, sf))
+
+
 # --- word vectors and metrics -----------------------------------------------------------
 
 _VEC = """v AS (SELECT 'w' || vec_id AS word, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings),

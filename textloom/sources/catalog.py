@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatchcase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +20,42 @@ PATTERNS = {
     "topics_dist": ["resources/topic-models/*/document-topics-distribution*pro_text.csv", "resources/topic-models/*/*document*topic*.csv"],
     "termset": ["resources/termsets/*.csv"],
     "topic_words": ["resources/topic-models/*/*topic_words*.csv", "resources/topic-models/*/*words*tag*.csv"],
-    "ranks": ["output/processed_termset/*/*/*_tag_topic_rank.csv"],
-    "relevance": ["output/processed_termset/*/*/*_tag_topic_relevance.csv"],
-    "counts_per_year": ["output/processed_termset/*/*/*_dtti_topdocs_topic_counts_per_year.csv"],
-    "top10_year_value": ["output/processed_topics/*/*_topdocs_year_value.csv"],
-    "top10_value_per_text": ["output/processed_topics/*/*_topdocs_value_per_text_topic.csv"],
+    "ranks": ["output/processed_termset/**/*_tag_topic_rank.csv"],
+    "relevance": ["output/processed_termset/**/*_tag_topic_relevance.csv"],
+    "counts_per_year": ["output/processed_termset/**/*_dtti_topdocs_topic_counts_per_year.csv"],
+    "top10_year_value": ["output/processed_topics/**/*_topdocs_year_value.csv"],
+    "top10_value_per_text": ["output/processed_topics/**/*_topdocs_value_per_text_topic.csv"],
     "tokens_year": ["output/statistics/*tokens*.csv"],
 }
 
 
 def find_files(spark: SparkSession, root: str, pattern: str) -> list[str]:
-    """Files of a pattern below a folder of any store that Spark reads, in order."""
+    """Files of a pattern below a folder of any store that Spark reads, in order; ** stands for any number of folders."""
+    above, deep, name = pattern.partition("**/")
+    if deep:
+        return [f for f in files_below(spark, f"{root.rstrip('/')}/{above}".rstrip("/")) if fnmatchcase(f.rpartition("/")[2], name)]
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{pattern}")
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
     return sorted(s.getPath().toString() for s in found or [])
 
 
+def files_below(spark: SparkSession, folder: str) -> list[str]:
+    """All files of a folder and its subfolders, in order; none where there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return []
+    found, each = [], store.listFiles(path, True)
+    while each.hasNext():
+        found.append(each.next().getPath().toString())
+    return sorted(found)
+
+
+def tfidf_files(spark: SparkSession, folder: str, part: str = "tfidf") -> list[str]:
+    """The CSV files of a folder and its subfolders whose names hold `part`."""
+    return [f for f in files_below(spark, folder) if f.endswith(".csv") and part in f.rpartition("/")[2]]
+
+
 def read_all(spark: SparkSession, root: str, pattern: str) -> dict[str, DataFrame]:
     """Every file of a pattern, by its path."""
     return {p: tables.read_csv(spark, p) for p in find_files(spark, root, pattern)}

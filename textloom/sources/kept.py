@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,3 +30,18 @@ def kept(df: DataFrame) -> DataFrame:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """df with its running number in the given order, which must be a total one.
+
+    No task holds more than a range of the rows: ranges are written, then each is numbered
+    for itself from where the ranges before it end.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = kept(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__range", before.alias("__start"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranges.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + place).drop("__range", "__start")

@@ -25,6 +25,9 @@ AUTHOR = f"{_HEADER}//fileDesc//titleStmt/author"
 FIRST_DATES = [f"{_HEADER}//date[@type='firstPublication']", f"{_HEADER}//creation//date[@type='OriginalSourcePublication']", f"{_HEADER}//profileDesc//creation//date[@when]"]
 SPAN_DATES = [f"{_HEADER}//profileDesc//creation//date[@notBefore or @notAfter]"]
 SOURCE_DATES = [f"{_HEADER}//sourceDesc//biblFull//publicationStmt//date", f"{_HEADER}//sourceDesc//bibl//date"]
+#: What marks the project's name in a publisher, and who entered the metadata; attributes that hold a value.
+PROJECT, ENTERED = "kolimo", "Erfassung der Metadaten"
+VALUE_ATTRIBUTES = ("when", "notBefore", "notAfter", "from", "to", "value", "key", "ref", "n")
 
 
 @F.pandas_udf(types.BooleanType())
@@ -68,9 +71,18 @@ def tei_metadata(docs: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def tei_provenance(docs: DataFrame, xml: str = "xml") -> DataFrame:
-    """docs with publisher, project (of the encoding description) and licence."""
+    """docs with publisher, project (the publisher's name without mail and postal addresses), licence and xml_creator (who entered the metadata: a name, else its id, else who made the first change that names someone)."""
     x = F.col(xml)
-    return docs.withColumns({"publisher": _first(x, [f"{_HEADER}//fileDesc/publicationStmt/publisher", f"{_HEADER}//fileDesc/publicationStmt/authority"]), "project": _first(x, [f"{_HEADER}//encodingDesc//projectDesc", f"{_HEADER}//titleStmt//principal"]), "licence": _first(x, [f"{_HEADER}//availability//licence", f"{_HEADER}//availability"])})
+    publisher = _first(x, [f"{_HEADER}//fileDesc//publicationStmt//publisher", f"{_HEADER}//fileDesc//publicationStmt//authority"])
+    at = F.locate(PROJECT, F.lower(publisher))
+    named = F.regexp_replace(F.substr(publisher, at), r"^(.+?)(?: Seminar| Käthe|,).*$", "$1")
+    plain = F.array_join(F.filter(F.split(publisher, " "), lambda w: ~F.contains(w, F.lit("@"))), " ")
+    entered = f"//respStmt[resp[contains(., '{ENTERED}')]]/name"
+    by_id = F.try_element_at(F.xpath(x, F.lit(f"{entered}/@*[name()='xml:id']")), F.lit(1))
+    changed = F.try_element_at(F.filter(F.transform(F.xpath(x, F.lit("//revisionDesc//change/@who")), lambda w: F.trim(F.ltrim(w, F.lit("#")))), lambda w: w != ""), F.lit(1))
+    licence = _first(x, [f"{_HEADER}//availability//licence", f"{_HEADER}//availability"])
+    creator = F.coalesce(F.nullif(_all(x, entered), F.lit("")), by_id, changed, F.lit(""))
+    return docs.withColumns({"publisher": publisher, "project": F.trim(F.coalesce(F.when(at > 0, named).otherwise(plain), F.lit(""))), "licence": licence, "xml_creator": creator})
 
 
 def tei_text(docs: DataFrame, xml: str = "xml") -> DataFrame:
@@ -113,6 +125,40 @@ def discover_paths(docs: DataFrame, xml: str = "xml", most: int = 400, files: in
     return found.groupBy("path").agg(F.sum("n").alias("n"), F.min("probe").alias("probe")).orderBy(F.desc("n"), "path").limit(most)
 
 
+def header_paths(docs: DataFrame, xml: str = "xml", prefix: str = "tei:", most: int = 400, files: int = 25) -> DataFrame:
+    """(path, leaf, label, n, probe): the elements of the headers (of whole documents where there is no header) that hold text or a value, below the root, of up to `files` documents. label is the path and leaf its end, both without prefix; probe the least of the first texts found. A report; it looks at so many documents only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for x in batch[xml]:
+                try:
+                    root = ElementTree.fromstring(x or "")
+                except ElementTree.ParseError:
+                    continue
+                seen: dict[str, str] = {}
+                stack, inside = [(root, (), False)], any(_local(e) == "teiHeader" for e in root.iter())
+                while stack:
+                    node, path, counted = stack.pop()
+                    counted = counted or not inside or _local(node) == "teiHeader"
+                    value = " ".join("".join(node.itertext()).split()) or next((v.strip() for a in VALUE_ATTRIBUTES if (v := node.get(a)) and v.strip()), "")
+                    if counted and value:
+                        seen.setdefault("/".join(path) or ".", value[:120])
+                    stack += [(c, (*path, _local(c)), counted) for c in reversed(node) if isinstance(c.tag, str)]
+                rows += seen.items()
+            yield pd.DataFrame(rows, columns=["label", "probe"])
+
+    found = docs.select(xml).limit(files).mapInPandas(run, "label string, probe string").groupBy("label").agg(F.count("*").alias("n"), F.min("probe").alias("probe"))
+    steps = F.split("label", "/")
+    path = F.when(F.col("label") == ".", ".").otherwise(F.array_join(F.transform(steps, lambda s: F.concat(F.lit(prefix), s)), "/"))
+    return found.select(path.alias("path"), F.element_at(steps, -1).alias("leaf"), "label", "n", "probe").orderBy(F.desc("n"), "label").limit(most)
+
+
+def _local(node: ElementTree.Element) -> str:
+    """An element's name without its namespace; comments and instructions have none."""
+    return node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
+
+
 class _Text(HTMLParser):
     """Title and visible text."""
 

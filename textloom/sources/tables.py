@@ -112,6 +112,16 @@ def topic_words(df: DataFrame, id_: str = "Topic") -> DataFrame:
     return unpivot(df, id_, "pos", "word").select(F.col(id_).alias("topic"), F.col("pos").cast("int").alias("pos"), F.trim("word").alias("word")).filter("word <> ''")
 
 
+#: Names that the column of a topic table's topics may have.
+TOPIC_COLUMNS = ["Topic", "topic", "Topic_ID", "topic_id", "ID", "id"]
+
+
+def topic_table(df: DataFrame) -> DataFrame:
+    """A topic table with its topics, as text, first and then all its word columns as they are."""
+    name = next((c for c in TOPIC_COLUMNS if c in df.columns), df.columns[0])
+    return df.select(F.col(f"`{name}`").cast("string").alias(name), *[F.col(f"`{c}`") for c in df.columns if c != name])
+
+
 def termset(df: DataFrame) -> DataFrame:
     """(tag, ord, word) of a ragged table with a column per tag; trailing notes in parentheses go."""
     from ..functions import text as T
@@ -127,10 +137,37 @@ def tfidf_totals(df: DataFrame, terms: list[str]) -> DataFrame:
     return sums.unpivot([], terms, "term", "total")
 
 
-def term_columns(df: DataFrame, metadata: list[str], share: float = 0.8) -> list[str]:
-    """Columns of a wide matrix that are terms: not in the metadata, and numeric for at least `share` of their values."""
-    known = {m.strip().lower() for m in metadata} | {"year_final"}
-    rest = [c for c in df.columns if c.strip().lower() not in known]
+#: Names and patterns of columns that are metadata, and of numbers that are no terms.
+METADATA_NAMES = """
+_id id doc_id filename
+author author_prename author_surname author_surname_norm author_address author_address_geo
+editor_prename editor_surname
+title title_norm title_addition
+source journal magazine
+year year_first year_final Jahr_final
+date datum year_pub erscheinungsjahr
+author_forename editor_forename
+gnd wikidata idno ref url
+volume edition issue pages pages_exzerpt
+textclass genre address address_geo
+lang language note archive
+female_education
+content text clean_text content_min content_lem content_stop content_gen
+""".split()
+METADATA_PATTERN = r"(?i)^(author|editor|autor|verfasser|herausgeber|hrsg)_|_(forename|surname|prename|vorname|nachname|name|norm|geo|addition|first|final|exzerpt|address)$"
+NUMBER_PATTERN = r"(?i)(^|_)(id|gnd|wikidata|idno|jahr|year|datum|date|band|volume|seite|page|pages|nr|nummer|index|ref|url)$"
+
+
+def names_a_term(column: str, metadata: list[str] = (), patterns: bool = True) -> bool:
+    """Whether a matrix column may be a term by its name: not one of the metadata or the known names, nor (with `patterns`) like one, nor like an id, year or page."""
+    if column.strip().lower() in {m.strip().lower() for m in (*metadata, *METADATA_NAMES)}:
+        return False
+    return not (patterns and (re.search(METADATA_PATTERN, column) or re.search(NUMBER_PATTERN, column)))
+
+
+def term_columns(df: DataFrame, metadata: list[str], share: float = 0.8, patterns: bool = True) -> list[str]:
+    """Columns of a wide matrix that are terms: by their names (`names_a_term`), and numeric for at least `share` of their values."""
+    rest = [c for c in df.columns if names_a_term(c, metadata, patterns)]
     if not rest:
         return []
     ok = df.agg(*[(F.count(F.col(f"`{c}`").try_cast("double")) >= share * F.count(F.col(f"`{c}`"))).alias(c) for c in rest]).first()
