@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dup, pii, quality, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
+from . import ball_kmeans, exact_dedup, mixing, near_dup, pii, quality, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_codec.op8,
     "op9_mixing": mixing.op9,
     "op10_token_counts": token_counts.op10,
+    "op11_ball_kmeans": ball_kmeans.op11,
 }
 
 ORACLES = {
     "op4_voronoi_knn": voronoi_knn.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op9_mixing": mixing.oracle(),
+    "op11_ball_kmeans": ball_kmeans.oracle(),
 }
