@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ball_kmeans, exact_dedup, hard_negatives, mixing, near_dup, pii, quality, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
+from . import ball_kmeans, exact_dedup, hard_negatives, main_text, mixing, near_dup, pii, quality, sentencepiece_codec, token_counts, token_output, toxicity, voronoi_knn
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9,
     "op10_token_counts": token_counts.op10,
     "op11_ball_kmeans": ball_kmeans.op11,
+    "op12_main_text": main_text.op12,
     "op13_hard_negatives": hard_negatives.op13,
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
     "op9_mixing": mixing.oracle(),
     "op11_ball_kmeans": ball_kmeans.oracle(),
+    "op12_main_text": main_text.op12,
     "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
