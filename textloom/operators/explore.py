@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -47,9 +47,9 @@ def hits_by(hits: DataFrame, author: str) -> DataFrame:
     return hits.withColumn("author_hits", F.count("*").over(Window.partitionBy(author)))
 
 
-def windows(corpus: DataFrame, targets: list[str], window: int, *keep: str, ngram: int = 1) -> DataFrame:
+def windows(corpus: DataFrame, targets: list[str], window: int, *keep: str, ngram: int = 1, tokens: Column | None = None) -> DataFrame:
     """One row per token (or run of `ngram` tokens that doesn't cross the target) within `window` tokens of a target in the same document: kept columns, target, collocate."""
-    ts = corpus.select("doc_id", *keep, T.tokens(F.col("content")).alias("ts"))
+    ts = corpus.select("doc_id", *keep, (T.tokens(F.col("content")) if tokens is None else tokens).alias("ts"))
     ts = ts.filter(F.arrays_overlap("ts", F.array(*[F.lit(t) for t in targets])))
     at = ts.select("doc_id", *keep, "ts", F.explode(F.filter(F.sequence(F.lit(1), F.size("ts")), lambda i: F.element_at("ts", i).isin(targets))).alias("i"))
     low = F.greatest(F.col("i") - window, F.lit(1))
@@ -60,13 +60,18 @@ def windows(corpus: DataFrame, targets: list[str], window: int, *keep: str, ngra
 
 def collocations(corpus: DataFrame, targets: list[str], window: int = 5, min_freq: int = 3, top: int = 100, measure: str = "freq", ngram: int = 1) -> DataFrame:
     """(target, collocate, freq, score): score is the frequency or the pointwise mutual information over all tokens (or runs of `ngram` tokens)."""
-    pairs = windows(corpus, targets, window, ngram=ngram).groupBy("target", "collocate").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_freq)
+    ts = T.tokens(F.col("content"))
+    counts = corpus.select(F.explode(ts if ngram == 1 else T.ngrams(ts, ngram)).alias("collocate")).groupBy("collocate").agg(F.count("*").alias("n"))
+    words = corpus.select(F.explode(F.filter(ts, lambda t: t.isin(targets))).alias("target"))
+    of_target = words.groupBy("target").agg(F.count("*").alias("n_target"))  # a row per target
+    return score_collocations(windows(corpus, targets, window, ngram=ngram), counts, of_target, min_freq, top, measure)
+
+
+def score_collocations(pairs: DataFrame, counts: DataFrame, of_target: DataFrame, min_freq: int, top: int, measure: str) -> DataFrame:
+    """`collocations` of the pairs (target, collocate); counts: collocate, n; of_target: target, n_target."""
+    pairs = pairs.groupBy("target", "collocate").agg(F.count("*").alias("freq")).filter(F.col("freq") >= min_freq)
     if measure == "pmi":
-        ts = T.tokens(F.col("content"))
-        counts = corpus.select(F.explode(ts if ngram == 1 else T.ngrams(ts, ngram)).alias("collocate")).groupBy("collocate").agg(F.count("*").alias("n"))
         total = counts.agg(F.sum("n").alias("total"))
-        words = corpus.select(F.explode(F.filter(ts, lambda t: t.isin(targets))).alias("target"))
-        of_target = words.groupBy("target").agg(F.count("*").alias("n_target"))  # a row per target
         known = pairs.join(counts, "collocate").join(F.broadcast(of_target), "target").crossJoin(F.broadcast(total))
         joint, apart = F.col("freq") / F.col("total"), F.col("n") / F.col("total") * F.col("n_target") / F.col("total")
         score = F.log2(F.greatest(joint, F.lit(EPSILON)) / F.greatest(apart, F.lit(EPSILON)))

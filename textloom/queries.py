@@ -798,4 +798,4 @@ def cloud_weights(spark, sf):
     return _rounded(vectors.cloud_weights(A.termset(spark, sf), matrices.term_means(A.tfidf2000(spark, sf), n)), "weight", "size")
 
 
-from . import more_queries  # noqa: E402,F401  sources and models
+from . import index_queries, more_queries  # noqa: E402,F401
