@@ -78,8 +78,9 @@ TEI = """<TEI xmlns='http://www.tei-c.org/ns/1.0'><teiHeader><fileDesc><titleStm
 
 
 def test_tei(spark):
-    docs = spark.createDataFrame([("d", TEI), ("bad", "<a>")], "doc_id string, xml string")
-    (r,) = markup.parse_xml(docs).collect()
+    docs = spark.createDataFrame([("d", TEI), ("bad", "a < b"), ("none", None)], "doc_id string, xml string")
+    r, bad, none = markup.parse_xml(docs).orderBy(F.desc("xml_state"), "doc_id").collect()
+    assert (bad.doc_id, bad.xml_state, bad.title, none.doc_id, none.xml_state) == ("bad", "unreadable", None, "none", "unreadable")
     assert (r.doc_id, r.title, r.author_surname, r.author_prename, r.year, r.first_publication_year, r.real_author) == ("d", "Das Buch", "Droste", "Annette", 1856, None, True)
     assert r.content == "Rest Satz"
     assert markup.tei_provenance(docs.filter("doc_id = 'd'")).first().publisher == "Haus"

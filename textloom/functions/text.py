@@ -98,9 +98,9 @@ def strip_particles(name: Column) -> Column:
 
 
 def is_author(name: Column) -> Column:
-    """Whether the name, without outer full stops, is one of a person."""
+    """Whether the name, without outer full stops, is one of a person. So those that NO_AUTHOR lists with one at the end are names."""
     plain = F.regexp_replace(F.lower(normalize_ws(F.coalesce(name, F.lit("")))), r"^\.+|\.+$", "")
-    return (plain != "") & ~plain.isin(NO_AUTHOR) & (plain != "n.n") & ~F.startswith(plain, F.lit("anonym"))
+    return (plain != "") & ~plain.isin(NO_AUTHOR) & ~F.startswith(plain, F.lit("anonym"))
 
 
 def _year(text: Column, pattern: str) -> Column:

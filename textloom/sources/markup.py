@@ -1,7 +1,7 @@
 """TEI and HTML documents.
 
-Well-formed XML goes through Spark's XPath, which ignores namespaces, so paths have no
-prefix. HTML and broken XML go through Python's parsers in Arrow batches.
+XML goes through Spark's XPath, which ignores namespaces, so paths have no prefix; broken XML is
+mended first. HTML goes through Python's parser in Arrow batches.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types
 
 from ..functions import text as T
+from .mend_xml import mended, recovered
 
 _HEADER = "//teiHeader"
 #: Where titles, the work's author, dates and origins stand, in the order in which they are tried.
@@ -30,18 +31,6 @@ PROJECT, ENTERED = "kolimo", "Erfassung der Metadaten"
 VALUE_ATTRIBUTES = ("when", "notBefore", "notAfter", "from", "to", "value", "key", "ref", "n")
 
 
-@F.pandas_udf(types.BooleanType())
-def is_well_formed(xml: pd.Series) -> pd.Series:
-    def one(x: str | None) -> bool:
-        try:
-            ElementTree.fromstring(x or "")
-        except ElementTree.ParseError:
-            return False
-        return True
-
-    return xml.map(one)
-
-
 def _all(xml: Column, path: str) -> Column:
     """Texts below the nodes of a path, joined."""
     return T.normalize_ws(F.array_join(F.xpath(xml, F.lit(f"({path})[1]//text()")), " "))
@@ -61,22 +50,31 @@ def _year(xml: Column, paths: list[str]) -> Column:
 
 
 def tei_metadata(docs: DataFrame, xml: str = "xml") -> DataFrame:
-    """docs with title, author_surname, author_prename, year, first_publication_year, real_author."""
+    """docs with title, author_surname, author_prename, year, first_publication_year, real_author.
+
+    Both names come of the elements for them if both are filled, else both of the person's
+    name as it stands. Who isn't a real author has no name.
+    """
     x = F.col(xml)
+    parts = [_first(x, [f"{AUTHOR}//{n}"]) for n in ("surname", "forename")]
     person = _first(x, [f"{AUTHOR}//persName", AUTHOR])
-    surname = F.coalesce(_first(x, [f"{AUTHOR}//surname"]), T.surname(person))
-    forename = F.nullif(T.strip_particles(F.coalesce(_first(x, [f"{AUTHOR}//forename"]), T.forename(person))), F.lit(""))
+    both = parts[0].isNotNull() & parts[1].isNotNull()
+    surname = F.when(both | person.isNull(), parts[0]).otherwise(T.surname(person))
+    forename = F.when(both, T.strip_particles(parts[1])).when(person.isNull(), parts[1]).otherwise(T.strip_particles(T.forename(person)))
     first = F.coalesce(_year(x, FIRST_DATES), _year(x, SPAN_DATES))
-    return docs.withColumns({"title": _first(x, TITLES), "author_surname": surname, "author_prename": forename, "first_publication_year": first, "year": F.coalesce(first, _year(x, SOURCE_DATES)), "real_author": T.is_author(person)})
+    found = docs.withColumns({"title": _first(x, TITLES), "author_surname": surname, "author_prename": F.nullif(forename, F.lit("")), "first_publication_year": first, "year": F.coalesce(first, _year(x, SOURCE_DATES))})
+    found = found.withColumn("real_author", T.is_author(F.concat_ws(" ", "author_surname", "author_prename")))
+    return found.withColumns({n: F.when(F.col("real_author"), F.col(n)) for n in ("author_surname", "author_prename")})
 
 
 def tei_provenance(docs: DataFrame, xml: str = "xml") -> DataFrame:
     """docs with publisher, project (the publisher's name without mail and postal addresses), licence and xml_creator (who entered the metadata: a name, else its id, else who made the first change that names someone)."""
     x = F.col(xml)
-    publisher = _first(x, [f"{_HEADER}//fileDesc//publicationStmt//publisher", f"{_HEADER}//fileDesc//publicationStmt//authority"])
-    at = F.locate(PROJECT, F.lower(publisher))
-    named = F.regexp_replace(F.substr(publisher, at), r"^(.+?)(?: Seminar| Käthe|,).*$", "$1")
-    plain = F.array_join(F.filter(F.split(publisher, " "), lambda w: ~F.contains(w, F.lit("@"))), " ")
+    of_project = _first(x, [f"{_HEADER}//fileDesc//publicationStmt//publisher"])
+    publisher = F.coalesce(of_project, _first(x, [f"{_HEADER}//fileDesc//publicationStmt//authority"]))
+    at = F.locate(PROJECT, F.lower(of_project))
+    named = F.regexp_replace(F.substr(of_project, at), r"^(.+?)(?: Seminar| Käthe|,).*$", "$1")
+    plain = F.array_join(F.filter(F.split(of_project, " "), lambda w: ~F.contains(w, F.lit("@"))), " ")
     entered = f"//respStmt[resp[contains(., '{ENTERED}')]]/name"
     by_id = F.try_element_at(F.xpath(x, F.lit(f"{entered}/@*[name()='xml:id']")), F.lit(1))
     changed = F.try_element_at(F.filter(F.transform(F.xpath(x, F.lit("//revisionDesc//change/@who")), lambda w: F.trim(F.ltrim(w, F.lit("#")))), lambda w: w != ""), F.lit(1))
@@ -92,10 +90,10 @@ def tei_text(docs: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def parse_xml(docs: DataFrame, xml: str = "xml", id_: str = "doc_id") -> DataFrame:
-    """(id, content, metadata) of the well-formed documents; the id is xml:id of the root where there is one."""
-    good = docs.filter(is_well_formed(F.col(xml)))
+    """(id, content, metadata, xml_state) of all documents; broken ones are mended, of unreadable ones only id and state are known. The id is xml:id of the root where there is one."""
+    read = docs.withColumn("__read", recovered(F.col(xml))).withColumns({xml: F.col("__read.xml"), "xml_state": F.col("__read.state")}).drop("__read")
     own = F.try_element_at(F.xpath(F.col(xml), F.lit("/*/@*[name()='xml:id']")), F.lit(1))
-    return tei_text(tei_metadata(good, xml), xml).withColumn(id_, F.coalesce(own, F.col(id_))).drop(xml)
+    return tei_text(tei_metadata(read, xml), xml).withColumn(id_, F.coalesce(own, F.col(id_))).drop(xml)
 
 
 def discover_paths(docs: DataFrame, xml: str = "xml", most: int = 400, files: int = 25) -> DataFrame:
@@ -106,9 +104,7 @@ def discover_paths(docs: DataFrame, xml: str = "xml", most: int = 400, files: in
             counts: Counter = Counter()
             probe: dict[str, str] = {}
             for x in batch[xml]:
-                try:
-                    root = ElementTree.fromstring(x or "")
-                except ElementTree.ParseError:
+                if (root := _root(x)) is None:
                     continue
                 stack = [(root, root.tag.rpartition("}")[2])]
                 while stack:
@@ -132,9 +128,7 @@ def header_paths(docs: DataFrame, xml: str = "xml", prefix: str = "tei:", most:
         for batch in batches:
             rows = []
             for x in batch[xml]:
-                try:
-                    root = ElementTree.fromstring(x or "")
-                except ElementTree.ParseError:
+                if (root := _root(x)) is None:
                     continue
                 seen: dict[str, str] = {}
                 stack, inside = [(root, (), False)], any(_local(e) == "teiHeader" for e in root.iter())
@@ -154,6 +148,16 @@ def header_paths(docs: DataFrame, xml: str = "xml", prefix: str = "tei:", most:
     return found.select(path.alias("path"), F.element_at(steps, -1).alias("leaf"), "label", "n", "probe").orderBy(F.desc("n"), "label").limit(most)
 
 
+def _root(xml: str | None) -> ElementTree.Element | None:
+    """The root of a document, mended if need be; None where nothing can be read."""
+    for candidate in (xml or "", mended(xml or "")):
+        try:
+            return ElementTree.fromstring(candidate or "")
+        except ElementTree.ParseError:
+            continue
+    return None
+
+
 def _local(node: ElementTree.Element) -> str:
     """An element's name without its namespace; comments and instructions have none."""
     return node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
