@@ -109,7 +109,14 @@ def corpus_topics(spark, sf):
 
 @query("word2vec")
 def word2vec(spark, sf):
-    return models.word2vec(A.corpus(spark, sf), models.word2vec_params(0, vector_size=32, epochs=1, min_count=20), partitions=4)
+    return models.word2vec(A.corpus(spark, sf))
+
+
+@query("word2vec_cbow")
+def word2vec_cbow(spark, sf):
+    corpus = A.corpus(spark, sf)
+    tokens = corpus.agg(F.sum(T.token_count(F.col("content")))).first()[0] or 0
+    return models.word2vec(corpus, models.word2vec_params(tokens, sg=0))
 
 
 @query("pca_projection")
