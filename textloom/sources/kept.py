@@ -32,6 +32,14 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that `kept` returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {re.sub(r"(textloom-kept-[0-9a-f]{32}).*", r"\1", f) for f in df.inputFiles() if re.search(r"textloom-kept-[0-9a-f]{32}/", f)}:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """df with its running number in the given order, which must be a total one.
 
