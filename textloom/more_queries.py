@@ -94,17 +94,17 @@ def stacked_topics(spark, sf):
 
 @query("nmf_topics")
 def nmf_topics(spark, sf):
-    return models.nmf(matrices.tfidf(A.corpus(spark, sf), 500), 8, 20, rounds=8)[1]
+    return models.nmf(matrices.tfidf(A.corpus(spark, sf), 500))[1]
 
 
 @query("lda_topics")
 def lda_topics(spark, sf):
-    return models.lda(matrices.dtm(A.corpus(spark, sf), 500), 8, 20, max_iter=5)[1]
+    return models.lda(matrices.dtm(A.corpus(spark, sf), 500))[1]
 
 
 @query("corpus_topics")
 def corpus_topics(spark, sf):
-    return models.fit_from_corpus(A.corpus(spark, sf), 6, 200, 50, 300, rounds=4)[1]
+    return models.fit_from_corpus(A.corpus(spark, sf))[1]
 
 
 @query("word2vec")
@@ -112,11 +112,9 @@ def word2vec(spark, sf):
     return models.word2vec(A.corpus(spark, sf))
 
 
-@query("word2vec_cbow")
-def word2vec_cbow(spark, sf):
-    corpus = A.corpus(spark, sf)
-    tokens = corpus.agg(F.sum(T.token_count(F.col("content")))).first()[0] or 0
-    return models.word2vec(corpus, models.word2vec_params(tokens, sg=0))
+@query("gibbs_topics")
+def gibbs_topics(spark, sf):
+    return models.fit_from_corpus(A.corpus(spark, sf), model="gibbs")[1]
 
 
 @query("pca_projection")
