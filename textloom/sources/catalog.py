@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.corpus import ROLES, find_column
 from . import tables
+from .vector_files import read_word2vec
 
 #: Where a project keeps each table, as patterns below its folder in the order in which they are tried.
 PATTERNS = {
@@ -73,12 +74,14 @@ class Catalog:
         return next((found[0] for p in PATTERNS.get(name, []) if (found := find_files(self.spark, self.root, p))), None)
 
     def available(self) -> dict[str, str]:
-        return {n: p for n in PATTERNS if (p := self.path(n))}
+        return {n: p for n in [*PATTERNS, "vectors"] if (p := self.path(n))}
 
     def table(self, name: str) -> DataFrame:
         path = self.path(name)
         if path is None:
             raise FileNotFoundError(f"no file for {name} below {self.root}")
+        if name == "vectors":
+            return read_vectors(self.spark, path)
         df = tables.read_csv(self.spark, path)
         if name == "topics_dist":
             return tables.document_topics(df)
@@ -105,7 +108,11 @@ def metadata_table(df: DataFrame) -> DataFrame:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(word, vector) of a model that was written as parquet."""
+    """(word, vector) of a model's folder with parquet, or of a file of word2vec's formats (text, .bin, .gz)."""
+    if path.lower().endswith((".txt", ".vec", ".bin", ".gz")):
+        return read_word2vec(spark, path)
+    if path.lower().endswith((".model", ".kv", ".wordvectors")):
+        raise ValueError("a pickled model; save its vectors in word2vec's format")
     return spark.read.parquet(f"{path}/vectors").select("word", F.col("vector").cast("array<double>").alias("vector"))
 
 
