@@ -786,12 +786,30 @@ def npmi_coherence(spark, sf):
     return metrics.npmi(A.topic_word(spark, sf), matrices.term_frequency(A.corpus(spark, sf)))
 
 
-@query("window_coherence")
+def _windows_sql(window: int) -> str:
+    """Windows that hold each topic word and each pair of them, and their number."""
+    return f"""WITH {TFIDF}, {TOPIC_WORD}, top AS (SELECT DISTINCT topic, word FROM topic_word WHERE pos <= 10),
+ts AS (SELECT doc_id, regexp_extract_all(content, {W}) AS ts FROM corpus), n AS (SELECT sum(greatest(len(ts) - {window - 1}, 1)) AS n FROM ts),
+p AS (SELECT doc_id, unnest(ts) AS word, unnest(range(1, len(ts) + 1)) AS i, len(ts) AS m FROM ts),
+here AS MATERIALIZED (SELECT DISTINCT doc_id, word, unnest(range(greatest(i - {window - 1}, 1), least(i, greatest(m - {window - 1}, 1)) + 1)) AS s FROM p WHERE word IN (SELECT word FROM top)),
+single AS MATERIALIZED (SELECT word, count(*) AS df FROM here GROUP BY word),
+met AS MATERIALIZED (SELECT a.word AS a, b.word AS b, count(*) AS n_ab FROM here a JOIN here b USING (doc_id, s) WHERE (a.word, b.word) IN (SELECT (x.word, y.word) FROM top x JOIN top y USING (topic)) GROUP BY ALL),
+pairs AS (SELECT x.topic, x.word AS a, y.word AS b, coalesce(n_ab, 0) / n AS p, sa.df / n * sb.df / n AS apart FROM top x JOIN top y USING (topic) JOIN single sa ON sa.word = x.word JOIN single sb ON sb.word = y.word CROSS JOIN n LEFT JOIN met ON met.a = x.word AND met.b = y.word),
+cells AS (SELECT topic, a, b, ln((p + 1e-12) / apart) / -ln(p + 1e-12) AS v FROM pairs)"""
+
+
+@query("window_coherence", f"{_windows_sql(110)}, sums AS (SELECT *, sum(v) OVER (PARTITION BY topic, b) AS s FROM cells), c AS (SELECT topic, a, sum(v * s) / (sqrt(sum(v * v)) * sqrt(sum(s * s)) + 1e-12) AS c FROM sums GROUP BY topic, a) SELECT topic, round(avg(c), 6) AS c_v FROM c GROUP BY topic")
 def window_coherence(spark, sf):
     docs = A.corpus(spark, sf).select("doc_id", T.tokens(F.col("content")).alias("ts"))
     return metrics.window_coherence(A.topic_word(spark, sf), docs)
 
 
+@query("window_npmi", f"{_windows_sql(10)} SELECT topic, round(avg(v), 6) AS c_npmi FROM cells WHERE a <> b GROUP BY topic")
+def window_npmi(spark, sf):
+    docs = A.corpus(spark, sf).select("doc_id", T.tokens(F.col("content")).alias("ts"))
+    return metrics.window_coherence(A.topic_word(spark, sf), docs, measure="c_npmi")
+
+
 @query("cloud_weights", f"WITH {TFIDF}, {SUMS}, {TERMSET}, m AS (SELECT term, round(total / (SELECT count(*) FROM full_corpus), 9) AS mean FROM sums) SELECT word, round(max(mean), 6) AS weight, round(ln(max(mean) + 1), 6) AS size FROM termset JOIN m ON term = word GROUP BY word")
 def cloud_weights(spark, sf):
     n = matrices.nonempty(A.corpus(spark, sf)).agg(F.count("*").alias("n"))
