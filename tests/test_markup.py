@@ -27,7 +27,7 @@ def test_mended(kind):
     broken, good = BROKEN[kind]
     assert mend_xml.mended(broken) == good
     ElementTree.fromstring(good)
-    assert mend_xml.mended(good) == good.replace("&#65;", "&#65;")  # stays as it is
+    assert mend_xml.mended(good) == good  # stays as it is
 
 
 def test_well_formed_keeps_its_tree():
@@ -36,10 +36,9 @@ def test_well_formed_keeps_its_tree():
     assert shape(ElementTree.fromstring(mend_xml.mended(xml))) == shape(ElementTree.fromstring(xml))
 
 
-def test_long_broken_texts_take_linear_time():
-    for part in ("<b>", "</b>", "<", "&", "<b k='", "<!--", "<b k", "<![CDATA["):
-        found = mend_xml.mended("<a>" + part * 20_000)
-        ElementTree.fromstring(found.replace("<b>" * 20_000, "").replace("</b>" * 20_000, "") if part == "<b>" else found) if part not in ("<b k='", "<b k") else None
+@pytest.mark.parametrize("part", ["</b>", "<", "&", "<!--", "<![CDATA[", "<b k='1' ", "<b/>"])
+def test_long_broken_texts(part):
+    ElementTree.fromstring(mend_xml.mended("<a>" + part * 20_000))
 
 
 TEI = "<TEI><teiHeader><fileDesc><titleStmt><title>T</title><author>{}</author></titleStmt><publicationStmt><authority>Amt</authority></publicationStmt></fileDesc></teiHeader><text><body>x</body></text></TEI>"
