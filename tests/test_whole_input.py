@@ -2,7 +2,9 @@
 
 import random
 
-from textloom.queries import QUERIES
+import duckdb
+
+from textloom.queries import ORACLES, QUERIES
 from textloom import more_queries  # noqa: F401  registers its queries
 
 
@@ -53,3 +55,17 @@ def test_fuzzy_match_of_all_parts(spark, tmp_path):
     expected = {t: min((strategy(t, *m), m[0]) for m in meta) for t in {text(r[0], m) for r, m in zip(rows, meta, strict=True)}}
     found = {r.text: (r.strategy, r.doc_id) for r in QUERIES["fuzzy_text_match"](spark, str(tmp_path)).collect()}
     assert found == {t: e for t, e in expected.items() if e[0] < 9} and len(found) == len(expected)
+
+
+def test_diagnostics_count_documents_beyond_the_vocabulary_and_without_vectors(spark, tmp_path):
+    # 2,001 terms of two documents push the term of document 3 out of the 2,000 commonest
+    common = " ".join(f"aa{i:04}" for i in range(2001))
+    docs = [(0, common, "de", "src0"), (1, common, "de", "src0"), (3, "zzzz", "de", "src0"), (4, "? !", "de", "src0")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = [(0, [1.0] * 64), (1, None), (3, [2.0] * 64), (4, [3.0] * 64), (9, [1.0] * 64), (None, [1.0] * 64)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["dtti_diagnostics"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert [tuple(r) for r in got] == db.execute(ORACLES["dtti_diagnostics"]).fetchall() == [(5, 3, 12, 2)]

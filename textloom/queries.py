@@ -690,7 +690,9 @@ def dtti_topdocs(spark, sf):
 
 @query("dtti_diagnostics", f"{_INDEX} SELECT count(DISTINCT doc_id) AS documents, (SELECT count(DISTINCT d.doc_id) FROM doc_topic d JOIN tf USING (doc_id)) AS documents_found, count(DISTINCT topic) AS topics, (SELECT count(DISTINCT d.topic) FROM doc_topic d JOIN topic_word USING (topic)) AS topics_found FROM doc_topic")
 def dtti_diagnostics(spark, sf):
-    return dtti.diagnostics(A.doc_topic(spark, sf), matrices.dtm(A.corpus(spark, sf), 2000), A.topic_word(spark, sf))
+    # every term counts here, not only those of the capped vocabulary
+    tokens = matrices.token_rows(matrices.nonempty(A.corpus(spark, sf)), T.WORD2)
+    return dtti.diagnostics(A.doc_topic(spark, sf), tokens, A.topic_word(spark, sf))
 
 
 @query("tag_topic_bubbles", f"{DTTI}, m AS (SELECT term, round(total / (SELECT count(*) FROM full_corpus), 9) AS mean FROM sums), v AS (SELECT tag, topic, sum(mean) AS v FROM topic_word JOIN termset USING (word) JOIN m ON term = word GROUP BY ALL) SELECT a.tag, b.topic, round(coalesce(v, 0), 6) AS value FROM (SELECT DISTINCT tag FROM termset) a CROSS JOIN (SELECT DISTINCT topic FROM topic_word) b LEFT JOIN v ON v.tag = a.tag AND v.topic = b.topic")
