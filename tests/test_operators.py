@@ -62,6 +62,28 @@ def test_cosine_pairs_equal_the_full_join(spark):
         assert got == want and want
 
 
+def test_cosine_pairs_of_many_blocks_are_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(f"{part}{i:02}", part, t, float(v)) for part in ("x", "y") for i in range(18) for t, v in _unit(rng)]
+    m = spark.createDataFrame(rows, "doc_id string, part string, term string, tfidf double")
+    want = {part: {(r.doc_a, r.doc_b): r.cosine for r in matrices.cosine_all(m.filter(F.col("part") == part).drop("part")).collect() if r.doc_a < r.doc_b and r.cosine >= 0.5} for part in ("x", "y")}
+    monkeypatch.setattr(matrices, "BLOCK", 4)
+    for columns in (4096, 5):  # all columns dense at once, and in runs
+        monkeypatch.setattr(matrices, "COLUMNS", columns)
+        found = matrices.cosine_pairs(m, 0.5, ["part"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.replace("BroadcastExchange", "")
+        got = found.collect()
+        assert len(got) == len({(r.part, r.doc_a, r.doc_b) for r in got})
+        assert {part: {(r.doc_a, r.doc_b): r.cosine for r in got if r.part == part} for part in ("x", "y")} == want and all(want.values())
+
+
+def _unit(rng) -> list[tuple[str, float]]:
+    terms = rng.choice(12, 4, replace=False)
+    values = rng.random(4) + 0.1
+    return [(f"t{t:02}", v) for t, v in zip(terms, values / np.linalg.norm(values), strict=True)]
+
+
 def test_band_masks_the_choice_of_terms_but_not_the_scores(spark):
     m = spark.createDataFrame([("a", "big", 0.95), ("a", "mid", 0.3), ("b", "mid", 0.4), ("b", "low", 0.1)], "doc_id string, term string, tfidf double")
     assert [r.term for r in matrices.selected_terms(m, 2).collect()] == ["mid", "low"]
