@@ -78,6 +78,15 @@ def test_cosine_pairs_of_many_blocks_are_not_shuffled(spark, monkeypatch):
         assert {part: {(r.doc_a, r.doc_b): r.cosine for r in got if r.part == part} for part in ("x", "y")} == want and all(want.values())
 
 
+def test_interval_cosine_is_not_shuffled_by_pairs_of_blocks(spark):
+    rows = [(f"d{i}", f"aa bb {'cc' if i % 2 else 'dd'} ee{i % 3}", "", "", 1800 + i) for i in range(12)]
+    m = matrices.interval_tfidf(spark.createDataFrame(rows, CORPUS), [(1800, 1807), (1804, 1811)], 5)
+    found = matrices.cosine_pairs(m, 0.6, ["interval"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    want = {(p, r.doc_a, r.doc_b, r.cosine) for p in ("1800-1807", "1804-1811") for r in matrices.cosine_all(m.filter(F.col("interval") == p).drop("interval")).collect() if r.doc_a < r.doc_b and r.cosine >= 0.6}
+    assert {(r.interval, r.doc_a, r.doc_b, r.cosine) for r in found.collect()} == want and len({w[0] for w in want}) == 2
+
+
 def _unit(rng) -> list[tuple[str, float]]:
     terms = rng.choice(12, 4, replace=False)
     values = rng.random(4) + 0.1
