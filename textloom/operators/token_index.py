@@ -49,7 +49,8 @@ def build(corpus: DataFrame, path: str, keep: tuple[str, ...] = (), block_tokens
     row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).cast("int")
     placed = ordered.withColumns({"block": F.spark_partition_id(), "row": row}).sortWithinPartitions("block", "row")
     placed = placed.withColumn("tokens", T.tokens(F.col("content")))
-    placed.withColumn("n_tokens", F.size("tokens").cast("long")).write.partitionBy("block").parquet(f"{path}/documents")
+    folders = [] if corpus.isEmpty() else ["block"]  # no folder, no file: an empty table would have no schema
+    placed.withColumn("n_tokens", F.size("tokens").cast("long")).write.partitionBy(*folders).parquet(f"{path}/documents")
     index = TokenIndex(spark, path)
 
     docs = index.documents.select("block", "row", "doc_id", *keep, "n_tokens")
@@ -57,7 +58,7 @@ def build(corpus: DataFrame, path: str, keep: tuple[str, ...] = (), block_tokens
     bases = docs.groupBy("block").agg(F.sum("n_tokens").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = F.sum("n_tokens").over(Window.partitionBy("block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     starts = docs.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(bases), "block")
-    starts.select("block", "row", "doc_id", *keep, (F.col("base") + F.col("within")).alias("start"), "n_tokens").write.partitionBy("block").parquet(f"{path}/offsets")
+    starts.select("block", "row", "doc_id", *keep, (F.col("base") + F.col("within")).alias("start"), "n_tokens").write.partitionBy(*folders).parquet(f"{path}/offsets")
 
     lists = index.documents.select("block", "row", "tokens").mapInArrow(_invert(flush), _POSTINGS)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
