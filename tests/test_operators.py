@@ -88,6 +88,23 @@ def test_interval_cosine_is_not_shuffled_by_pairs_of_blocks(spark):
     assert {(r.interval, r.doc_a, r.doc_b, r.cosine) for r in found.collect()} == want and len({w[0] for w in want}) == 2
 
 
+def test_rows_that_bounds_leave_out_are_not_multiplied(monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.zeros((40, 12))
+    x[:20, :3], x[20:, 3:6] = rng.random((20, 3)) + 0.2, rng.random((20, 3)) + 0.2
+    x[:, 6:] = 0.1 * rng.random((40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    blocks = [(np.full(len(r), 12, "<i4"), np.tile(np.arange(12), len(r)).astype("<i4"), r.ravel()) for r in (x[:20], x[20:], x[::2])]
+    monkeypatch.setattr(matrices, "LEADING", 6)
+    seen, plain = [], matrices._products
+    monkeypatch.setattr(matrices, "_products", lambda a, b, *kind: seen.append((len(a[0]), len(b[0]))) or plain(a, b, *kind))
+    assert [len(c) for c in matrices._alike(blocks[0], blocks[1], 0.8)] == [0, 0, 0] and not seen
+    i, j, cosine = matrices._alike(blocks[0], blocks[2], 0.8)
+    want = np.round(x[:20] @ x[::2].T, 6)
+    assert set(zip(i.tolist(), j.tolist(), cosine.tolist(), strict=True)) == {(a, b, want[a, b]) for a, b in zip(*np.nonzero(want >= 0.8), strict=True)}
+    assert max(b for _, b in seen) <= 10  # the other ten are of other terms
+
+
 @pytest.mark.parametrize("held", [2_000_000, 40])
 def test_pairs_leave_a_task_by_their_cosine(monkeypatch, held):
     """So that a column of a written result holds equal values together, however many pairs of blocks a task has."""
