@@ -105,6 +105,14 @@ def test_rows_that_bounds_leave_out_are_not_multiplied(monkeypatch):
     assert max(b for _, b in seen) <= 10  # the other ten are of other terms
 
 
+def test_products_take_the_columns_of_both(monkeypatch):
+    a = np.array([2, 1], "<i4"), np.array([0, 7, 900], "<i4"), np.array([0.5, 2.0, 3.0])
+    b = np.array([3], "<i4"), np.array([7, 8, 900], "<i4"), np.array([4.0, 1.0, 5.0])
+    widths, plain = [], matrices._dense
+    monkeypatch.setattr(matrices, "_dense", lambda block, low, width, kind: widths.append(width) or plain(block, low, width, kind))
+    assert matrices._products(a, b).tolist() == [[8.0], [15.0]] and widths == [2, 2]
+
+
 @pytest.mark.parametrize("held", [2_000_000, 40])
 def test_pairs_leave_a_task_by_their_cosine(monkeypatch, held):
     """So that a column of a written result holds equal values together, however many pairs of blocks a task has."""
